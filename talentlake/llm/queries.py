@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from talentlake.llm.bpe import op4_bpe_codec
 from talentlake.llm.chat import op10_chat_formatting
+from talentlake.llm.decontaminate import op9_decontamination
 from talentlake.llm.gam import op5_quality_classifier
 from talentlake.llm.langid import op6_language_id
 from talentlake.llm.quality_rules import op2_quality_rules
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_language_id": op6_language_id,
+    "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
