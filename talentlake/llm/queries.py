@@ -11,12 +11,14 @@ from talentlake.llm.chat import op10_chat_formatting
 from talentlake.llm.decontaminate import op9_decontamination
 from talentlake.llm.gam import op5_quality_classifier
 from talentlake.llm.langid import op6_language_id
+from talentlake.llm.line_dedup import op3_line_dedup
 from talentlake.llm.near_dup import op1_near_dup
 from talentlake.llm.quality_rules import op2_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_language_id": op6_language_id,
