@@ -11,6 +11,7 @@ from talentlake.llm.chat import op10_chat_formatting
 from talentlake.llm.decontaminate import op9_decontamination
 from talentlake.llm.gam import op5_quality_classifier
 from talentlake.llm.langid import op6_language_id
+from talentlake.llm.lattice_lm import op8_lm_scoring
 from talentlake.llm.line_dedup import op3_line_dedup
 from talentlake.llm.near_dup import op1_near_dup
 from talentlake.llm.quality_rules import op2_quality_rules
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_language_id": op6_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
 }
