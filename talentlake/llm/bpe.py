@@ -63,7 +63,7 @@ class Bpe:
         into = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks, self.into = key[order], order.astype(np.int64), into
-        self._split, self._plain, self._odd = regex.compile(PRE_TOKEN), re.compile(LATIN_PRE_TOKEN), re.compile(NOT_LATIN)
+        self.pattern, self._plain, self._odd = regex.compile(PRE_TOKEN), re.compile(LATIN_PRE_TOKEN), re.compile(NOT_LATIN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.word_bound = word_bound
         self._forget()
@@ -78,7 +78,7 @@ class Bpe:
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text; Latin texts take an equal pattern that is faster."""
-        return (self._split if self._odd.search(text) else self._plain).findall(text)
+        return (self.pattern if self._odd.search(text) else self._plain).findall(text)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair; a number past all ranks where the pair never merges."""

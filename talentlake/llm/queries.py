@@ -15,6 +15,7 @@ from talentlake.llm.lattice_lm import op8_lm_scoring
 from talentlake.llm.line_dedup import op3_line_dedup
 from talentlake.llm.near_dup import op1_near_dup
 from talentlake.llm.quality_rules import op2_quality_rules
+from talentlake.llm.token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_language_id": op6_language_id,
+    "op7_token_counts": op7_token_counts,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
