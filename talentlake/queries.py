@@ -1,10 +1,6 @@
 """The registered queries of the library, by name, with DuckDB SQL for each that SQL can express."""
 
-from __future__ import annotations
+from talentlake.plans import job_queries, other_queries  # noqa: F401  (importing registers)
+from talentlake.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

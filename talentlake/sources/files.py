@@ -84,7 +84,7 @@ def read_seed_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Raw postings as they come in with a request.
-INLINE = T.StructType.fromDDL("seq long, external_id string, title string, company string, url string, location string, description string, posted string")
+INLINE = T.StructType([T.StructField("seq", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("external_id", "title", "company", "url", "location", "description", "posted")]])
 
 
 def inline_rows(spark: SparkSession, items: list[dict]) -> DataFrame:
