@@ -72,9 +72,8 @@ class Bpe:
         """Starts the table of known words: a number for each, and where its ids lie in one flat array."""
         self.known: dict = {(t,): k for k, t in enumerate(self.added)}
         self.flat = np.array([*self.added.values(), *[0] * 1024], np.uint32)
-        self.sizes = np.ones(len(self.added), np.int64)
         self.filled = len(self.added)
-        self.starts = np.arange(len(self.added))
+        self.sizes, self.starts = np.ones(1024 + self.filled, np.int64), np.arange(1024 + self.filled)
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text; Latin texts take an equal pattern that is faster."""
@@ -99,8 +98,8 @@ class Bpe:
         while len(sym):
             n = len(raw)
             # the lowest rank in each word: words lie in order, so a segmented minimum finds it
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            padded = np.r_[rank, none]
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            padded = np.append(rank, none)
             low = np.minimum.reduceat(padded, starts)
             lowest = np.zeros(n, np.int64)
             lowest[word[starts]] = low
@@ -113,7 +112,7 @@ class Bpe:
             hit = padded == lowest[word]  # the left symbols of pairs that merge
             # of overlapping hits (a a a) the leftmost wins: every other one of a run
             at = np.flatnonzero(hit)
-            new_run = np.r_[True, np.diff(at) != 1]
+            new_run = np.concatenate([[True], at[1:] != at[:-1] + 1])
             run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
             at = at[(np.arange(len(at)) - run_start) % 2 == 0]
             sym[at] = self.into[padded[at]]
@@ -147,9 +146,13 @@ class Bpe:
             if self.filled + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
             self.flat[self.filled : self.filled + len(ids)] = ids
-            self.known.update(zip(part, range(len(self.sizes), len(self.sizes) + len(part)), strict=True))
-            self.starts = np.concatenate([self.starts, self.filled + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
+            n = len(self.known)
+            if n + len(part) > len(self.sizes):  # room for as many again, so that growing stays cheap
+                more = np.zeros(n + len(part), np.int64)
+                self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
+            self.known.update(zip(part, range(n, n + len(part)), strict=True))
+            self.starts[n : n + len(part)] = self.filled + np.cumsum(sizes) - sizes
+            self.sizes[n : n + len(part)] = sizes
             self.filled += len(ids)
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -57,10 +57,12 @@ class TokenTree:
         return np.add.reduceat(np.fromiter(map(len, words), np.int64, len(words)), at), np.add.reduceat(sizes, at)
 
     @classmethod
-    def of(cls, text: str, vocab: Bpe) -> TokenTree:
-        words = vocab.split(text)
-        chars, tokens = cls.leaf_sums(words, _sizes(words, vocab))
-        return cls(text, _tree(chars), _tree(tokens), len(chars))
+    def of_all(cls, texts: list[str], vocab: Bpe) -> list[TokenTree]:
+        """The trees of a batch, whose new pre-tokens are all merged together."""
+        cut = [vocab.split(t) for t in texts]
+        vocab.learn(set().union(*cut))
+        leaves = [cls.leaf_sums(words, _sizes(words, vocab)) for words in cut]
+        return [cls(t, _tree(c), _tree(k), len(c)) for t, (c, k) in zip(texts, leaves, strict=True)]
 
     def leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf that holds a character (the last one for the end), and where that leaf begins."""
@@ -72,7 +74,8 @@ class TokenTree:
                 node += 1
         return node - half, before
 
-    def edit(self, start: int | None, length: int | None, new: str | None, vocab: Bpe) -> None:
+    def cut(self, start: int | None, length: int | None, new: str | None, vocab: Bpe) -> list[str]:
+        """Changes the text and finds the pre-tokens to encode; ``settle`` must follow."""
         start = min(max(0, start or 0), len(self.text))
         length = min(max(0, length or 0), len(self.text) - start)
         new = new or ""
@@ -93,9 +96,15 @@ class TokenTree:
             at = m.end()
         else:
             last = self.leaves
+        self.text, self.todo = text, (first, last, words)
+        return words
+
+    def settle(self, vocab: Bpe) -> None:
+        """Puts the sums of the re-encoded leaves in place, once ``vocab`` knows their pre-tokens."""
+        first, last, words = self.todo
+        half = len(self.chars) // 2
         self.encoded += sum(map(len, words))
         chars, tokens = self.leaf_sums(words, _sizes(words, vocab))
-        self.text = text
         if len(chars) == last - first:  # the same leaves: only the sums above them change
             for tree, leaves in ((self.chars, chars), (self.tokens, tokens)):
                 a, b = half + first, half + last
@@ -108,12 +117,24 @@ class TokenTree:
             chars, tokens = (np.concatenate([o[:first], x, o[last:]]) for o, x in zip(old, (chars, tokens), strict=True))
             self.chars, self.tokens, self.leaves = _tree(chars), _tree(tokens), len(chars)
 
+    def edit(self, start: int | None, length: int | None, new: str | None, vocab: Bpe) -> None:
+        vocab.learn(set(self.cut(start, length, new, vocab)))
+        self.settle(vocab)
+
 
 def _sizes(words: list[str], vocab: Bpe) -> np.ndarray:
-    vocab.learn(set(words))
     return vocab.sizes[np.fromiter(map(vocab.known.__getitem__, words), np.int64, len(words))]
 
 
+def edit_all(trees: list[TokenTree], edits: list[list], vocab: Bpe) -> None:
+    """Applies each tree's edits in turn; the k-th edits of all trees are encoded together."""
+    for k in range(max(map(len, edits), default=0)):
+        now = [(t, e[k]) for t, e in zip(trees, edits, strict=True) if k < len(e)]
+        vocab.learn({w for t, e in now for w in t.cut(e["start"], e["length"], e["new"], vocab)})
+        for t, _ in now:
+            t.settle(vocab)
+
+
 TREE = "n_tokens long, leaves int, char_sums array<int>, token_sums array<int>"
 
 
@@ -121,8 +142,7 @@ def build_trees(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with the columns of TREE; null texts become empty."""
 
     def make(texts: list[str | None]) -> list[list]:
-        vocab = bpe(path)
-        trees = [TokenTree.of(t or "", vocab) for t in texts]
+        trees = TokenTree.of_all([t or "" for t in texts], bpe(path))
         return [[int(t.tokens[1]) for t in trees], [t.leaves for t in trees], [t.chars for t in trees], [t.tokens for t in trees]]
 
     return add_columns(docs, ["text"], TREE, make)
@@ -134,12 +154,8 @@ def apply_edits(trees: DataFrame, edits: DataFrame, path: str) -> DataFrame:
     listed = edits.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "length", F.col("text").alias("new")))).alias("__edits"))
 
     def make(texts: list, leaves: list, chars: list, tokens: list, edits: list) -> list[list]:
-        vocab, done = bpe(path), []
-        for t, n, c, k, todo in zip(texts, leaves, chars, tokens, edits, strict=True):
-            tree = TokenTree(t or "", np.array(c, np.int64), np.array(k, np.int64), n)
-            for e in todo or ():
-                tree.edit(e["start"], e["length"], e["new"], vocab)
-            done.append(tree)
+        done = [TokenTree(t or "", np.array(c, np.int64), np.array(k, np.int64), n) for t, n, c, k in zip(texts, leaves, chars, tokens, strict=True)]
+        edit_all(done, [e or [] for e in edits], bpe(path))
         return [
             [t.text for t in done], [t.encoded for t in done], [int(t.tokens[1]) for t in done],
             [t.leaves for t in done], [t.chars for t in done], [t.tokens for t in done],
