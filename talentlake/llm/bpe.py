@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentlake.llm.common import add_columns, table
+from talentlake.llm.common import add_columns, held, table
 
 #: The published pre-token pattern of byte-level BPE vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,7 +43,7 @@ def byte_letters() -> dict[str, int]:
 class Bpe:
     """A byte-level BPE vocabulary file, as arrays."""
 
-    def __init__(self, path: str, word_bound: int = 200_000):
+    def __init__(self, path: str, word_bound: int = 150_000):
         spec = json.load(open(path, encoding="utf-8"))
         vocab, letters = spec["model"]["vocab"], byte_letters()
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -188,14 +188,9 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def bpe(path: str) -> Bpe:
     """The vocabulary at ``path``, loaded once per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 def _id_lists(path: str, texts: list[str | None]) -> pa.ListArray:

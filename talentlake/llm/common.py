@@ -48,10 +48,21 @@ def slices(df: DataFrame, bytes_each: int, column: str = "text") -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-total // bytes_each))
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make):
+    """The object of ``key``, made once per Python worker; a worker holds one at a time, as it serves one operator at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 class WordHash(dict):
     """word (bytes) -> signed 64-bit hash, remembered; forgets everything when ``bound`` words are held."""
 
-    def __init__(self, seed: int = 0, bound: int = 500_000):
+    def __init__(self, seed: int = 0, bound: int = 200_000):
         super().__init__()
         self.seed, self.bound = seed, bound
 
@@ -86,5 +97,6 @@ def add_columns(df: DataFrame, inputs: list[str], ddl: str, make, rows: int = 25
                 made = make(*[part.column(j).to_pylist() for j in range(n, n + len(inputs))])
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(n)), *arrays], names)
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talentlake.llm.common import add_columns, crc_mod, table
+from talentlake.llm.common import add_columns, crc_mod, held, table
 
 UNKNOWN = "und"
 _NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -65,17 +65,6 @@ class Compressors:
         return [sum(len(c.compress(p)) for p in parts) - 6 * len(parts) for c in self.made]
 
 
-_cached: dict[int, tuple[dict, Compressors]] = {}
-
-
-def _compressors(contents: dict[str, bytes]) -> Compressors:
-    key = hash(tuple(contents.items()))
-    if key not in _cached:
-        _cached.clear()
-        _cached[key] = (contents, Compressors(contents))
-    return _cached[key][1]
-
-
 def classify(text: str | None, by: Compressors, narrow: float) -> tuple[str, float, bool]:
     """Language, score from 0 to 1, and whether the margin is too narrow."""
     data = letters(text)
@@ -93,7 +82,7 @@ def identify(docs: DataFrame, contents: dict[str, bytes], narrow: float = 0.01)
     """``docs`` with lang_pred, score and rejected; like-named columns are replaced."""
 
     def make(texts: list[str | None]) -> list[list]:
-        by = _compressors(contents)
+        by = held(("compressors", tuple(contents.items())), lambda: Compressors(contents))
         return [list(x) for x in zip(*(classify(t, by, narrow) for t in texts), strict=True)]
 
     return add_columns(docs, ["text"], "lang_pred string, score double, rejected boolean", make)

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 
-from talentlake.llm.common import WordHash
+from talentlake.llm.common import WordHash, held
 
 #: The symbol characters of the quality contract.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-_words = WordHash()
 
 
 def word_arrays(texts: list[str | None], lower: bool = False) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """The words of each text (cut at ASCII white space), their hashes in one array, and each text's first place in it."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     words = [(r.lower() if lower else r).split() for r in raw]
+    get = held(("words",), WordHash).__getitem__
     starts = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(w) for w in words], out=starts[1:])
-    hashes = np.fromiter((h for w in words for h in map(_words.__getitem__, w)), np.int64, int(starts[-1]))
+    hashes = np.fromiter((h for w in words for h in map(get, w)), np.int64, int(starts[-1]))
     return words, hashes, starts
 
 
