@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 from talentlake.llm.common import add_columns, table
 
 WINDOW = 10
-WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The words of a text before its letters are lower-cased.
+WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 END, DOCUMENT, OTHER, FIRST = 0, 1, 2, 3
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -292,7 +293,7 @@ def without_spans(text: str | None, spans: list[int] | None) -> str | None:
     """A text without its hit words and what stands between them."""
     if not text or not spans:
         return text
-    ends = [m.span() for m in WORD.finditer(text)]
+    ends = [m.span() for m in WORD.finditer(text)]  # as many as ``words`` finds, as both cut at the same ASCII characters
     out, at = [], 0
     for a, b in zip(spans[::2], spans[1::2], strict=True):
         out.append(text[at : ends[a][0]])
