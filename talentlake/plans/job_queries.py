@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentlake.functions import parse, terms
-from talentlake.functions.text import fingerprint, url_key
+from talentlake.functions.text import content_tokens, fingerprint, url_key
 from talentlake.functions.vectors import hash_embedding
 from talentlake.operators import analytics, store
 from talentlake.operators.rank import Resume, rank, top_matches
+from talentlake.operators.shared import cut
 from talentlake.plans import dedup, filters
 from talentlake.plans import oracle as o
 from talentlake.plans.jobs_view import NOW, ORACLE_JOBS, jobs_v, table
@@ -177,6 +178,27 @@ def similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(tokens("a", "x"), "a").join(tokens("b", "y"), "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
 
 
+@query(
+    f"WITH d AS (SELECT doc_id, list_sort({o.fingerprint_tokens('text')}) AS t FROM documents WHERE doc_id IS NOT NULL), m AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS rep FROM d WHERE len(t) > 0), "
+    "x AS (SELECT rep AS id, any_value(t) AS t, len(any_value(t)) AS n FROM m GROUP BY rep, t), "
+    "p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS shared, a.n + b.n AS n FROM x a JOIN x b ON a.id < b.id AND least(a.n, b.n) * 10 >= 9 * greatest(a.n, b.n)) "
+    "SELECT a, b, round(shared / (n - shared), 6) AS score FROM p WHERE shared * 10 >= 9 * (n - shared) UNION ALL SELECT DISTINCT rep, doc_id, 1.0::DOUBLE FROM m WHERE doc_id > rep"
+)
+def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact set-similarity join on the content tokens of all documents.
+
+    Documents of one token set are a class, named by its least doc_id.  Rows of score 1 are the members (b) of
+    classes (a); the others are the pairs of classes.  Two documents are similar if their classes are one or are paired, so all
+    pairs follow from the rows, which don't grow with the square of a class.  Texts without tokens and rows
+    without a doc_id match nothing.
+    """
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    prints = docs.select("doc_id", fingerprint(F.col("text")).alias("print"), content_tokens(F.col("text")).alias("tokens")).where("print <> ''")
+    sets = cut(prints.groupBy("print").agg(F.min("doc_id").alias("id"), F.min(F.array_sort("tokens")).alias("tokens")))
+    members = prints.select("doc_id", "print").join(sets.select("print", "id"), "print").where("doc_id > id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("score")).distinct()
+    return dedup.similar_sets(sets.select("id", "tokens")).select("a", "b", F.round("score", 6).alias("score")).unionByName(members)
+
+
 _SALARY = f"""{o.JOBS[:-1]}, paid AS (SELECT seq, CASE description WHEN '8+ years Java, Spring, Kubernetes. $120k - $150k per year' THEN 135000.0 WHEN 'SQL, Python, dashboards. Fresher. 25-35 LPA' THEN 3000000.0
   WHEN 'Minimum 4 years of experience. 1.2 crore CTC' THEN 12000000.0 WHEN 'Docker and AWS, strong communication. stipend 25000 per month, 6-month internship' THEN 25000.0 END::DOUBLE AS amount,
   CASE WHEN description LIKE '8+%' THEN 'USD' WHEN description LIKE 'Docker%' THEN '?' ELSE 'INR' END AS currency, CASE WHEN description LIKE 'Docker%' THEN 'month' ELSE 'year' END AS period FROM jobs)

@@ -69,3 +69,24 @@ def test_similar_sets(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "id long, tokens array<string>")
     assert dedup.similar_sets(empty).count() == 0
+
+
+def test_near_dup_jaccard(spark, tmp_path):
+    """All documents take part: every pair of similar texts follows from classes and pairs of classes."""
+    from talentlake.queries import QUERIES
+
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(400)}"
+    texts = [" ".join(word() for _ in range(rng.randrange(2, 40))) for _ in range(60)]
+    texts += [" ".join([*t.split()[:-1], word()]) for t in texts[:40]] + [t.upper() + " the" for t in texts[20:50]]
+    rng.shuffle(texts)
+    docs = [*enumerate([*texts, None, "", "a the !", "a the !"], 600), (None, texts[0])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: frozenset(w for w in t.lower().split() if w != "the") for i, t in docs[: len(texts)]}
+    like = lambda x, y: len(x & y) / len(x | y)
+    want = {(i, j) for i, x in sets.items() for j, y in sets.items() if i < j and like(x, y) >= 0.9}
+    rows = [tuple(r) for r in QUERIES["near_dup_jaccard"](spark, str(tmp_path)).select("a", "b", "score").collect()]
+    assert len(rows) == len(set(rows)) and all(round(like(sets[a], sets[b]), 6) == s for a, b, s in rows)
+    of = {i: i for i in sets} | {b: a for a, b, s in rows if s == 1}
+    paired = {(a, b) for a, b, s in rows if s < 1}
+    assert paired and {(i, j) for i in sets for j in sets if i < j and (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in paired)} == want
