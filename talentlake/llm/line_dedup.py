@@ -1,15 +1,19 @@
 """Operator 3: line dedup by pairwise alignment.
 
-Lines long enough not to recur by chance are the rare lines.  Each line's first
-document is the one partner of every later document that holds it, so the number of pairs grows with the lines,
+Lines long enough not to recur by chance are the rare lines.  Beside them stand runs: from each line on, and up to each line,
+the shortest run of lines that reaches ``min_block`` words.  The first document of each line and run
+is the one partner of every later document that holds it, so the number of pairs grows with the lines,
 not with the square of a group, and no count of copies is too large to be seen.  Each
 pair is aligned with patience diff (lines unique in both documents are anchors, the longest
 increasing run of anchors is kept, equal neighbours join, gaps are aligned in turn;
 anchors that cross it are blocks that moved, and further copies of a line align with its first), and aligned blocks of ``min_block`` words or more are
-deleted from the later document.
+deleted from the later document, as are the runs that both hold.
+
+That finds every block of ``min_block`` words or more that any earlier document holds: each of its lines lies in a run within the
+block, whose first document is a partner.
 
 Of every deleted block the earliest copy stays, as a document loses lines only to an earlier one.
-Lines are compared by a 64-bit hash of their text without blanks at the ends.
+Lines are compared by a 64-bit hash of their text without blanks at the ends, runs by a 61-bit hash of those.
 
 Defined results: null text stays null and empty text empty; a row with a null doc_id is passed through;
 rows of one doc_id are the same document and don't cost each other lines; ties can't occur, as doc_ids order the documents;
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 from talentlake.llm.common import add_columns, cut, table
 
 BLANKS = " \t\n\x0b\x0c\r"
+#: Modulus and base of the hash of runs.
+PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
 
 
 def line_arrays(texts: list[str | None]) -> list[list]:
@@ -101,8 +108,33 @@ def patience(a: list[int], b: list[int]) -> dict[int, int]:
     return to
 
 
+def run_keys(lines: list[int], words: list[int], min_block: int) -> dict[tuple[int, int], int]:
+    """The hash of each shortest run of enough words from a line on or up to a line, by start and end."""
+    n = len(lines)
+    sums, sofar, power = [0], [0], [1]
+    for x, w in zip(lines, words, strict=True):
+        sums.append(sums[-1] + w)
+        sofar.append((sofar[-1] * BASE + x) % PRIME)
+        power.append(power[-1] * BASE % PRIME)
+    spans, j = set(), 0
+    for i in range(n):
+        j = max(j, i + 1)
+        while j < n and sums[j] - sums[i] < min_block:
+            j += 1
+        if sums[j] - sums[i] < min_block:
+            break
+        spans.add((i, j))
+    i = 0
+    for j in range(1, n + 1):
+        while i + 1 < j and sums[j] - sums[i + 1] >= min_block:
+            i += 1
+        if sums[j] - sums[i] >= min_block:
+            spans.add((i, j))
+    return {(i, j): (sofar[j] - sofar[i] * power[j - i]) % PRIME for i, j in spans}
+
+
 def removable(a: list[int], b: list[int], words: list[int], min_block: int) -> list[int]:
-    """Places in b that belong to aligned blocks of enough words."""
+    """Places in b that belong to aligned blocks of enough words, or to runs of enough words that a holds too."""
     to = patience(a, b)
     out, block = [], []
     for j in [*sorted(to), None]:
@@ -111,13 +143,32 @@ def removable(a: list[int], b: list[int], words: list[int], min_block: int) -> l
                 out += block
             block = []
         block.append(j)
-    return out
+    if len(out) == len(b):
+        return out
+    size = dict(zip(b, words, strict=True))
+    held = set(run_keys(a, [size.get(x, min_block) for x in a], min_block).values())  # a run with a line that b lacks is in no case shared
+    steps = [0] * (len(b) + 1)
+    for (i, j), key in run_keys(b, words, min_block).items():
+        if key in held:
+            steps[i] += 1
+            steps[j] -= 1
+    return sorted({*out, *(k for k, n in enumerate(accumulate(steps)) if n)})
 
 
 def removed_lines(docs: DataFrame, min_line: int = 5, min_block: int = 20) -> DataFrame:
     """(doc_id, removed): the places of the lines that a document loses, for documents that lose any."""
-    arrays = cut(add_columns(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), ["text"], "lines array<long>, words array<int>", line_arrays).drop("text"))
-    rare = arrays.select("doc_id", F.explode(F.arrays_zip("lines", "words")).alias("l")).where(F.col("l.words") >= min_line).select("doc_id", F.col("l.lines").alias("line"))
+    def keyed(texts: list[str | None]) -> list[list]:
+        lines, words = line_arrays(texts)
+        keys = []
+        for x, w in zip(lines, words, strict=True):
+            rare = {h for h, k in zip(x, w, strict=True) if k >= min_line}
+            keys.append(list(rare.union(key for (i, j), key in run_keys(x, w, min_block).items() if j - i > 1 or w[i] < min_line)))
+        return [lines, words, keys]
+
+    named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    arrays = cut(add_columns(named, ["text"], "lines array<long>, words array<int>, keys array<long>", keyed).drop("text"))
+    rare = arrays.select("doc_id", F.explode("keys").alias("line"))
+    arrays = arrays.drop("keys")
     first = rare.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line", "first")
     pairs = rare.join(first, "line").where("doc_id > first").select("doc_id", "first").distinct()
     early = arrays.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines"))

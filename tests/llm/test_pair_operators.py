@@ -139,6 +139,31 @@ def test_lines_against_brute_force(spark):
     assert got == {i: "\n".join(x for x in t.split("\n") if first[x] == i) for i, t in docs}
 
 
+def test_blocks_of_any_earlier_document(spark):
+    """What goes are the lines of all blocks of enough words that any earlier document holds, whatever the lines' lengths and first holders."""
+    twelve = lambda k: " ".join(f"{k}w{i}" for i in range(12))
+    verse = "\n".join(f"verse {k} short line" for k in range(13))
+    docs = [(1, twelve("a")), (2, twelve("b")), (3, f"{twelve('a')}\n{twelve('b')}"), (4, f"{twelve('a')}\n{twelve('b')}"), (5, verse), (6, f"{verse}\nend")]
+    rng = random.Random(3)
+    pool = [" ".join(f"{k}v{i}" for i in range(rng.choice([0, 1, 3, 4, 7, 12, 25]))) for k in range(14)]
+    docs += [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for i in range(10, 90)]
+    want = {}
+    for n, (i, t) in enumerate(docs):
+        b, gone = t.split("\n"), set()
+        for _, other in docs[:n]:
+            a = other.split("\n")
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    k = 0
+                    while x + k < len(a) and y + k < len(b) and a[x + k] == b[y + k]:
+                        k += 1
+                    if sum(len(z.split()) for z in b[y : y + k]) >= 20:
+                        gone.update(range(y, y + k))
+        want[i] = "\n".join(z for y, z in enumerate(b) if y not in gone)
+    assert want[3] == docs[2][1] and want[4] == "" and want[6] == "end"
+    assert want == {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+
 def test_patience():
     a, b = list("abcdefgh"), list("xabcyfghz")
     assert line_dedup.patience([ord(c) for c in a], [ord(c) for c in b]) == {1: 0, 2: 1, 3: 2, 5: 5, 6: 6, 7: 7}
