@@ -164,6 +164,14 @@ def test_blocks_of_any_earlier_document(spark):
     assert want == {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
 
 
+def test_passage_of_short_lines(spark):
+    """A passage of which no line reaches min_line words goes, if it has min_block words; a shorter one stays."""
+    verse = "\n".join(f"verse {k} of four" for k in range(5))
+    docs = [(1, f"start\n{verse}"), (2, f"{verse}\nend"), (3, "\n".join(verse.split("\n")[:4]))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "end", 3: docs[2][1]}
+
+
 def test_patience():
     a, b = list("abcdefgh"), list("xabcyfghz")
     assert line_dedup.patience([ord(c) for c in a], [ord(c) for c in b]) == {1: 0, 2: 1, 3: 2, 5: 5, 6: 6, 7: 7}
