@@ -79,6 +79,14 @@ def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("vec_id") + 1 == F.col("other")).select("vec_id", "other", F.round(cosine(F.col("embedding"), F.col("e")), 6).alias("score"))
 
 
+@query(f"WITH b AS (SELECT vec_id AS other, embedding AS e FROM embeddings) SELECT vec_id, other, round(greatest(0, {_DOT('embedding', 'e')} / sqrt({_DOT('embedding', 'embedding')} * {_DOT('e', 'e')})), 6) AS score FROM embeddings JOIN b ON vec_id + 1 = other")
+def cosine_neighbours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of all consecutive vectors."""
+    a = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    b = a.select(F.col("vec_id").alias("other"), F.col("embedding").alias("e"))
+    return a.join(b, F.col("vec_id") + 1 == F.col("other")).select("vec_id", "other", F.round(cosine(F.col("embedding"), F.col("e")), 6).alias("score"))
+
+
 # --- companies: customers and suppliers stand for company records
 
 _CATEGORY = "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'automotive' WHEN 'BUILDING' THEN 'saas' WHEN 'FURNITURE' THEN 'nonsense' WHEN 'MACHINERY' THEN 'gcc' ELSE 'startup' END"

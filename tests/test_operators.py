@@ -153,3 +153,12 @@ def test_registry_and_exports(spark, tmp_path):
     with pytest.raises(ValueError):
         exports.export("x", data, "y")
     assert "a 1" in exports.prometheus({"a": 1})
+
+
+def test_all_consecutive_vectors(spark, tmp_path):
+    from talentlake.queries import QUERIES
+
+    rows = [(k, [1.0, float(k % 2)]) for k in range(60) if k != 30]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in QUERIES["cosine_neighbours_all"](spark, str(tmp_path)).collect())
+    assert got == [(k, k + 1, 0.707107) for k in range(59) if k not in (29, 30)]
