@@ -11,10 +11,10 @@ from talentlake.functions.text import content_tokens
 from talentlake.functions.vectors import cosine
 
 
-def vector_search(rows: DataFrame, query: Sequence[float], key: str, limit: int = 10, skip: int = 0, threshold: float = 0.0, where: Column | None = None, vector: str = "embedding") -> DataFrame:
+def vector_search(rows: DataFrame, query: Sequence[float], key: str, limit: int | None = 10, skip: int = 0, threshold: float = 0.0, where: Column | None = None, vector: str = "embedding") -> DataFrame:
     """(key, score) of the nearest rows by cosine, best first, ties by key.
 
-    A zero or empty query finds nothing; a threshold counts if above 0; ``where`` is applied before scoring.
+    Without a limit all rows are found.  A zero or empty query finds nothing; a threshold counts if above 0; ``where`` is applied before scoring.
     """
     if not any(query):
         return rows.select(key, F.lit(0.0).alias("score")).limit(0)
@@ -23,7 +23,8 @@ def vector_search(rows: DataFrame, query: Sequence[float], key: str, limit: int
     scored = rows.where(F.col(vector).isNotNull()).select(key, cosine(F.array(*[F.lit(float(x)) for x in query]), F.col(vector)).alias("score"))
     if threshold > 0:
         scored = scored.where(F.col("score") >= threshold)
-    return scored.orderBy(F.desc("score"), key).offset(skip).limit(limit)
+    hits = scored.orderBy(F.desc("score"), key).offset(skip)
+    return hits if limit is None else hits.limit(limit)
 
 
 def text_search(rows: DataFrame, text: str, key: str, columns: Sequence[str], limit: int = 10, where: Column | None = None) -> DataFrame:

