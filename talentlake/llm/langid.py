@@ -25,12 +25,13 @@ from talentlake.llm.common import add_columns, crc_mod, held, table
 
 UNKNOWN = "und"
 _NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> bytes:
-    """The letters of a text in lower case, runs of all else being one blank."""
+    """The letters of a text in lower case, with their marks, runs of all else being one blank; nothing if there are marks alone."""
     kept = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
-    return f" {kept} ".encode("utf-8", "surrogatepass") if kept else b""
+    return f" {kept} ".encode("utf-8", "surrogatepass") if _LETTER.search(kept) else b""
 
 
 def excerpts(train: DataFrame, each: int = 400, chars: int = 1000, languages: int = 200) -> dict[str, bytes]:

@@ -88,6 +88,12 @@ def test_language(odd, spark):
     assert langid.excerpts(odd.limit(0)) == {} and {r["lang_pred"] for r in langid.identify(odd, {}).collect()} == {"und"}
 
 
+def test_language_of_marks_alone():
+    by = langid.Compressors({"aa": b" alpha beta gamma "})
+    assert [langid.classify(t, by, 0.01) for t in ("\u0301\u0302 \u0301", "12 \u093e!")] == [("und", 0.0, True)] * 2
+    assert langid.classify("e\u0301", by, 0.01)[0] == "aa" and langid.letters("e\u0301") == " e\u0301 ".encode()
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, again = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7)), set()
