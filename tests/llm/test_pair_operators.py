@@ -73,15 +73,35 @@ def test_near_duplicates(spark, k):
 
 def test_blocks(spark):
     """All links of a crowded cluster by blocks, against brute force."""
-    rng = random.Random(3)
+    import numpy as np
+
+    rng, plan = random.Random(3), near_dup.Plan()
     base = list(range(60))
     sets = [(i, sorted({*rng.sample(base, rng.randrange(48, 60)), 1000 + i})) for i in range(120)]
-    nodes = spark.createDataFrame([(i, i, 0) for i, _ in sets], "node long, label long, cluster long")
-    links = near_dup.block_links(nodes, spark.createDataFrame(sets, "node long, members array<long>"), 80, rows=25).collect()
+    hashes = near_dup.Hashes(plan.size)
+    sign = lambda s: bytearray(hashes.signature(np.array(s, np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tobytes())
+    nodes = spark.createDataFrame([(i, i, 0, sign(s)) for i, s in sets], "node long, label long, cluster long, signature binary")
+    links = near_dup.block_links(nodes, spark.createDataFrame(sets, "node long, members array<long>"), plan, rows=25).collect()
     want = roots(range(120), [(a, b) for a, x in sets for b, y in sets if a < b and 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})])
     assert roots(range(120), [(r["a"], r["b"]) for r in links]) == want and len(set(want.values())) > 1
 
 
+def test_crowds(spark):
+    """Documents that share most of a passage, below the similarity, so that buckets hold many components: hubs alone don't link them."""
+    rng = random.Random(23)
+    words = [f"w{k}" for k in range(3000)]
+    passage, docs = rng.choices(words, k=60), []
+    for _ in range(60):
+        own = rng.choices(words, k=12)
+        docs += [" ".join(passage + own)] + [" ".join([*passage, *own, *rng.choices(words, k=rng.randrange(1, 4))]) for _ in range(2)]
+    docs = list(enumerate(docs))
+    rng.shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame, near_dup.Plan(shingle=2)).collect()}
+    want = brute(docs, 2)[1]
+    assert got == want and 1 < len(set(want.values())) < 180
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "same text here now ok"), (None, "same text here now ok"), (4, "same text here now ok"), (4, "same text here now ok"), (9, "same text here now ok"), (5, None)]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -90,6 +110,14 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_texts_of_one_document(spark):
+    """Rows of one doc_id with different texts are judged each by its own; doc_id may be a string."""
+    one, two = (" ".join(f"{x}{k}" for k in range(40)) for x in "pq")
+    rows = [("d1", one), ("d1", two), ("d2", one + " more"), ("d3", two + " more"), ("d4", "else")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [("d1", "d1", True), ("d1", "d1", True), ("d2", "d1", False), ("d3", "d1", False), ("d4", "d4", True)]
+
+
 def test_pigeonhole():
     """Signatures within the distance always share an entry."""
     import numpy as np
