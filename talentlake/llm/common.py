@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="talentlake-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -71,6 +77,14 @@ def held(key: tuple, make):
     return _held[key]
 
 
+def release() -> None:
+    """Gives the memory that a task has freed back to the machine, as the worker's process lives on beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class WordHash(dict):
     """word (bytes) -> signed 64-bit hash, remembered; forgets everything when ``bound`` words are held."""
 
@@ -86,11 +100,28 @@ class WordHash(dict):
         return h
 
 
-def add_columns(df: DataFrame, inputs: list[str], ddl: str, make, rows: int = 256) -> DataFrame:
+def parts_of(batch: pa.RecordBatch, columns: list[int], rows: int, room: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and about ``room`` bytes in ``columns``; one larger row is a part by itself."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        x = batch.column(c)
+        if pa.types.is_string(x.type) or pa.types.is_binary(x.type):
+            size += pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(x.type):
+            size += 16 * pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(size), 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + room, side="right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def add_columns(df: DataFrame, inputs: list[str], ddl: str, make, rows: int = 256, room: int = 4_000_000) -> DataFrame:
     """``df`` with the columns of ``ddl``, computed in Arrow batches; like-named columns of ``df`` are replaced.
 
     ``make`` gets a list of Python values for each input and returns a list of values for each
-    new column.  All other columns pass through untouched, whatever their type.
+    new column, of ``rows`` rows and about ``room`` bytes at a time.  All other columns pass through untouched, whatever their type.
     """
     added = T.StructType.fromDDL(ddl)
     kept = df.drop(*added.fieldNames())
@@ -101,14 +132,14 @@ def add_columns(df: DataFrame, inputs: list[str], ddl: str, make, rows: int = 25
     types = [to_arrow_type(f.dataType) for f in added.fields]
     names = schema.fieldNames()
     n = len(kept.columns)
+    takes = list(range(n, n + len(inputs)))
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches_in:
-            for i in range(0, whole.num_rows, rows):
-                part = whole.slice(i, rows)
-                made = make(*[part.column(j).to_pylist() for j in range(n, n + len(inputs))])
+            for part in parts_of(whole, takes, rows, room):
+                made = make(*[part.column(j).to_pylist() for j in takes])
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(n)), *arrays], names)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return source.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ indexes each such stretch as one symbol.  The benchmark is dealt into blocks of
 blocks mean more passes over the documents, never a larger broadcast.
 
 Defined results: null or empty text has no words and no hits; a null or empty item has no
-window; an item with a null id is left out; equal items each count by their id, rows that repeat
+window; an item with a null id is searched and cut, but not named; equal items each count by their id, rows that repeat
 an id count once; repeated documents each keep their row; columns of ``documents`` that clash with the added ones are
 replaced; an empty table on either side gives no hits.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talentlake.llm.common import add_columns, table
+from talentlake.llm.common import release, table
 
 WINDOW = 10
 #: The words of a text before its letters are lower-cased.
@@ -158,7 +158,9 @@ class Windows:
         for item, text in rows:
             ids = [vocabulary.setdefault(w, len(vocabulary) + FIRST) for w in words(text)]
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(str(item))
+                names = found.setdefault(tuple(ids[i : i + window]), set())
+                if item is not None:
+                    names.add(str(item))
         patterns = np.full((len(found), window), OTHER, np.int64)
         for k, w in enumerate(found):
             patterns[k, window - len(w) :] = w
@@ -239,24 +241,27 @@ def _merged(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about ``block_bytes`` bytes of text, collected one at a time."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[tuple], bool]]:
+    """The items in blocks of about ``block_bytes`` bytes of text, collected one at a time; and whether a block is the last."""
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = int(-(-total // block_bytes)) or 1
     for k in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(n)) == k).collect()]
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n)) == k).collect()], k == n - 1
 
 
-def find(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = 8_000_000, block_bytes: int = 1_000_000) -> DataFrame:
-    """``docs`` with n_words, hit_spans (word ranges as start, end, ...) and hit_items (sorted texts)."""
+def find(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = 8_000_000, block_bytes: int = 1_000_000, clean: bool = False) -> DataFrame:
+    """``docs`` with n_words, hit_spans (word ranges as start, end, ...) and hit_items (sorted texts).
+
+    With ``clean`` the last pass returns the texts without their spans.
+    """
     added = T.StructType.fromDDL("n_words long, hit_spans array<int>, hit_items array<string>")
     found = docs.drop(*added.fieldNames()).select("*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<int>").alias("hit_spans"), F.lit(None).cast("array<string>").alias("hit_items"))
     sc = docs.sparkSession.sparkContext
-    for rows in benchmark_blocks(benchmark, block_bytes):
+    for rows, last in benchmark_blocks(benchmark, block_bytes):
         shared = sc.broadcast(Windows.of(rows))  # of block_bytes bytes of text at most, or one item
 
-        def run(frames: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(frames: Iterator[pa.RecordBatch], shared=shared, cutting=clean and last) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
             size = 0
             for whole in frames:
@@ -267,16 +272,17 @@ def find(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = 8_000_000, bl
                     size += n + 16
                     if size >= shard_bytes:
                         held.append(whole.slice(start, i + 1 - start))
-                        yield from _searched(held, shared.value)
+                        yield from _searched(held, shared.value, cutting)
                         held, size, start = [], 0, i + 1
                 held.append(whole.slice(start))
-            yield from _searched(held, shared.value)
+            yield from _searched(held, shared.value, cutting)
+            release()
 
         found = found.mapInArrow(run, found.schema)
     return found
 
 
-def _searched(held: list[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
+def _searched(held: list[pa.RecordBatch], windows: Windows, cutting: bool) -> Iterator[pa.RecordBatch]:
     held = [b for b in held if b.num_rows]
     spans, items, counts = search_shard([t for b in held for t in b.column("text").to_pylist()], windows) if held else ([], [], [])
     at = 0
@@ -286,6 +292,8 @@ def _searched(held: list[pa.RecordBatch], windows: Windows) -> Iterator[pa.Recor
         s = [_merged(old or [], new) for old, new in zip(b.column("hit_spans").to_pylist(), s, strict=True)]
         i = [sorted({*(old or []), *new}) for old, new in zip(b.column("hit_items").to_pylist(), i, strict=True)]
         own = {"n_words": pa.array(n, pa.int64()), "hit_spans": pa.array(s, pa.list_(pa.int32())), "hit_items": pa.array(i, pa.list_(pa.string()))}
+        if cutting:
+            own["text"] = pa.array([without_spans(x, y) for x, y in zip(b.column("text").to_pylist(), s, strict=True)], pa.string())
         yield pa.RecordBatch.from_arrays([own.get(c, b.column(k)) for k, c in enumerate(b.schema.names)], b.schema.names)
 
 
@@ -303,9 +311,7 @@ def without_spans(text: str | None, spans: list[int] | None) -> str | None:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **sizes: int) -> DataFrame:
     """``docs`` with every occurrence of a benchmark window cut out of its text."""
-    found = find(docs, benchmark, **sizes)
-    cleaned = add_columns(found, ["text", "hit_spans"], "__clean string", lambda t, s: [[without_spans(x, y) for x, y in zip(t, s, strict=True)]])
-    return cleaned.withColumn("text", F.col("__clean")).select(*[c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items")])
+    return find(docs, benchmark, clean=True, **sizes).select(*[c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items")])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,5 +320,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = F.expr("aggregate(transform(hit_spans, (x, i) -> CASE WHEN i % 2 = 0 THEN -x ELSE x END), 0L, (s, x) -> s + x)")
     return found.select(
         "doc_id", "n_words", hits.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "hit_items").cast("binary"), 256).alias("items_sha256"), (F.size("hit_items") > 0).alias("contaminated"),
+        F.sha2(F.concat_ws(",", "hit_items").cast("binary"), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"),
     )
