@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or, where that is unset, one of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one of our own on a single machine, and an error on a cluster."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.getCheckpointDir() is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="talentlake-checkpoint-"))
     return named or sc.getCheckpointDir()
@@ -20,3 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written to the shared checkpoint folder, with their lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: as ``cut``, but with its true size, where estimates would multiply in an iteration."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

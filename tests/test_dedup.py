@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from talentlake.functions.text import fingerprint
 from talentlake.plans import dedup
 
 
@@ -31,31 +33,46 @@ def replay(rows, threshold=0.9):
     return out
 
 
-def test_replay(spark):
+def postings(spark, raw):
+    """Jobs of (seq, hash, url, role, description); the description's words are the tokens, as the role is no word of theirs."""
+    df = spark.createDataFrame(raw, "seq long, job_hash string, url string, role string, description string")
+    return df.select(
+        "seq", "job_hash", F.concat(F.lit("x.com/"), "url").alias("url"), F.lit("c").alias("company_name"), F.lit(None).cast("string").alias("canonical_company_name"), "role",
+        F.lit(None).cast("string").alias("normalized_role"), "description", F.struct(F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("country")).alias("location"),
+        fingerprint(F.col("role"), F.col("description")).alias("content_fingerprint"),
+    )
+
+
+def keyed(raw):
+    """The rows of ``replay``: role and description make the tokens, and their set the fingerprint."""
+    out = []
+    for s, h, u, r, d in raw:
+        tokens = sorted({w for w in f"{r} {d or ''}".lower().split() if len(w) > 1})
+        out.append((s, h, f"x.com/{u}" if u else None, " ".join(tokens) or None, f"c|{r}||", tokens))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [50_000, 30, 0])
+def test_replay(spark, crowd):
+    """Components replayed, crowded ones in rounds, or all of them in rounds: the same verdicts."""
     rng = random.Random(5)
     words = [f"w{k}" for k in range(26)]
     raw = []
-    for seq in range(220):
+    for seq in range(160):
         base = rng.randrange(14)
         tokens = [w for k, w in enumerate(words) if (k + base) % 13 < 11]
         if rng.random() < 0.5:
             tokens = tokens[:-1]
-        raw.append((seq, f"h{rng.randrange(150)}", rng.choice([None, f"u{rng.randrange(160)}"]), "c", f"r{rng.randrange(170)}", " ".join(tokens) if rng.random() < 0.9 else None))
-    df = spark.createDataFrame(raw, "seq long, job_hash string, url string, company string, role string, description string")
-    jobs = df.select(
-        "seq", "job_hash", F.concat(F.lit("x.com/"), "url").alias("url"), F.col("company").alias("company_name"), F.lit(None).cast("string").alias("canonical_company_name"), "role",
-        F.lit(None).cast("string").alias("normalized_role"), "description", F.struct(F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("country")).alias("location"),
-        F.when(F.col("description").isNull(), "").otherwise(F.sha2("description", 256)).alias("content_fingerprint"),
-    )
-    # tokens must come from the description alone for the fingerprint to name them
-    records = dedup.records
-    try:
-        dedup.records = lambda j: records(j).drop("tokens").join(j.select("seq", F.split("description", " ").alias("tokens")), "seq")
-        got = {r["seq"]: (r["layer"], r["confidence"], r["matched_seq"]) if r["is_duplicate"] else None for r in dedup.deduplicate(jobs).collect()}
-    finally:
-        dedup.records = records
-    keyed = [(s, h, f"x.com/{u}" if u else None, d, f"c|{r}||", d.split() if d else []) for s, h, u, _, r, d in raw]
-    assert got == replay(keyed)
+        raw.append((seq, f"h{rng.randrange(110)}", rng.choice([None, f"u{rng.randrange(110)}"]), f"r{rng.randrange(120)}", " ".join(tokens) if rng.random() < 0.9 else None))
+    got = {r["seq"]: (r["layer"], r["confidence"], r["matched_seq"]) if r["is_duplicate"] else None for r in dedup.deduplicate(postings(spark, raw), crowd=crowd).collect()}
+    assert got == replay(keyed(raw))
+
+
+def test_chain(spark):
+    """A chain of 2,000 postings, each like the one before under another key: every second one is accepted."""
+    raw = [(k, f"h{k // 2}", f"u{(k + 1) // 2}", f"r{k}", f"only{k}") for k in range(2000)]
+    got = {r["seq"]: r["matched_seq"] for r in dedup.deduplicate(postings(spark, raw)).collect()}
+    assert got == {k: None if k % 2 == 0 else k - 1 for k in range(2000)}
 
 
 def test_similar_sets(spark):
