@@ -38,6 +38,7 @@ def _case(branches: list[tuple[Column, Column]], otherwise: Column) -> Column:
     return functools.reduce(lambda c, b: c.when(*b), branches[1:], F.when(*branches[0])).otherwise(otherwise)
 
 
+#: Levels by years of experience.
 def _level(years: Column) -> Column:
     return F.when(years < 1, "entry").when(years < 3, "junior").when(years < 6, "mid").when(years < 9, "senior").otherwise("lead")
 
@@ -77,10 +78,11 @@ def _lookup(table: dict, key: Column) -> Column:
 def salary(text: Column) -> Column:
     """struct(min_amount, max_amount, currency, period) of the first figure with a sign of money; null without one."""
     raw = F.trim(blank(text))
-    # every match as its seven groups; the first that has a currency, a magnitude or a unit counts
+    # the first match that has a currency, a magnitude or a unit counts: anything but figures and what joins them
+    found = F.regexp_extract_all(raw, F.lit(SALARY), F.lit(0))
+    money = F.get(F.filter(found, lambda m: F.regexp_replace(m, r"(?i)(?<=\d)\s*to\s*(?=\d)", " ").rlike(r"[^\d\s.,\-–—]")), F.lit(0))
     names = ("c1", "n1", "m1", "c2", "n2", "m2", "tail")
-    named = F.arrays_zip(*[F.regexp_extract_all(raw, F.lit(SALARY), F.lit(k)).alias(n) for k, n in enumerate(names, 1)])
-    hit = F.get(F.filter(named, lambda z: (z["c1"] != "") | (z["c2"] != "") | (z["m1"] != "") | (z["m2"] != "") | (z["tail"] != "")), F.lit(0))
+    hit = F.transform(F.array_compact(F.array(money)), lambda m: F.struct(*[F.regexp_extract(m, SALARY, k).alias(n) for k, n in enumerate(names, 1)]))
 
     def build(z: Column) -> Column:
         has = lambda c: F.nullif(z[c], F.lit(""))
@@ -98,7 +100,7 @@ def salary(text: Column) -> Column:
             period.alias("period"),
         )
 
-    return F.get(F.transform(F.array_compact(F.array(hit)), build), F.lit(0))
+    return F.get(F.transform(hit, build), F.lit(0))
 
 
 #: Words that say nothing about the role.

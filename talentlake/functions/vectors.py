@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(scale > 0, F.greatest(F.lit(0.0), dot(a, b) / scale)), F.lit(0.0))
 
 
+def cosine_to(query: Sequence[float], vector: Column) -> Column:
+    """As ``cosine`` with one fixed vector, in Arrow batches: its norm is taken once and a batch is one matrix product."""
+    q = np.asarray(list(query), np.float64)
+    norm = float(np.sqrt(q @ q))
+
+    @F.pandas_udf("double")
+    def near(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            out = np.zeros(len(s))
+            rows = [k for k, v in enumerate(s) if v is not None and len(v) == len(q)]
+            if rows and norm:
+                m = np.asarray([s.iloc[k] for k in rows], np.float64)
+                scale = np.sqrt(np.einsum("ij,ij->i", m, m)) * norm
+                got = np.divide(m @ q, scale, out=np.zeros(len(rows)), where=scale > 0)
+                out[rows] = np.maximum(np.nan_to_num(got), 0)
+            yield pd.Series(out)
+
+    return near(vector)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays as sets; 0 where either is empty."""
     return F.coalesce(F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))), F.lit(0.0))

@@ -65,13 +65,15 @@ def new_today(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:
-    """Jobs that share a content fingerprint: count and labels in order of arrival, largest group first."""
-    label = F.concat_ws(" @ ", F.coalesce("normalized_role", "role"), "company_name")
+    """(content_fingerprint, count, first): the groups of jobs that share a fingerprint, and the first job of each."""
     groups = rows.where("content_fingerprint <> ''").groupBy("content_fingerprint").agg(F.count("*").alias("count"), F.min("seq").alias("first"))
-    groups = groups.where("count > 1")
-    # labels are a list by request; each job is one short entry
-    labels = rows.join(groups.select("content_fingerprint"), "content_fingerprint", "left_semi").groupBy("content_fingerprint").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", label.alias("l")))), lambda x: x["l"]).alias("labels"))
-    return groups.join(labels, "content_fingerprint").orderBy(F.desc("count"), "first").select("content_fingerprint", "count", "labels")
+    return groups.where("count > 1")
+
+
+def duplicate_members(rows: DataFrame) -> DataFrame:
+    """(content_fingerprint, count, first, seq, label): one row for each job of such a group, so that no group has to fit one value."""
+    label = F.concat_ws(" @ ", F.coalesce("normalized_role", "role"), "company_name")
+    return rows.select("content_fingerprint", "seq", label.alias("label")).join(duplicate_groups(rows), "content_fingerprint").select("content_fingerprint", "count", "first", "seq", "label")
 
 
 def missing_skills(rows: DataFrame, n: int = 20) -> DataFrame:
@@ -116,3 +118,21 @@ def collector_rates(facts: DataFrame) -> DataFrame:
 def collector_duplicates(rows: DataFrame) -> DataFrame:
     """Per collector: rows beyond the distinct external ids."""
     return rows.groupBy("collector").agg((F.count("*") - F.count_distinct("external_id")).alias("duplicates"))
+
+
+COUNTERS = ("runs", "total_jobs_found", "total_duplicates", "total_errors", "total_response_ms", "response_samples")
+
+
+def record_runs(stored: DataFrame, facts: DataFrame) -> DataFrame:
+    """Stored counters by collector with the results of more runs added: COUNTERS and last_run_at; new collectors start from nothing.
+
+    ``facts`` are (collector, jobs_found, duplicates, errors, response_ms, run_at); a null response time is no sample.
+    """
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    more = facts.select(
+        "collector", F.lit(1).cast("long").alias("runs"), number("jobs_found").alias("total_jobs_found"), number("duplicates").alias("total_duplicates"),
+        number("errors").alias("total_errors"), F.coalesce("response_ms", F.lit(0)).cast("double").alias("total_response_ms"),
+        F.when(F.col("response_ms").isNull(), 0).otherwise(1).cast("long").alias("response_samples"), F.col("run_at").alias("last_run_at"),
+    )
+    both = stored.select("collector", *COUNTERS, "last_run_at").unionByName(more)
+    return both.groupBy("collector").agg(*[F.sum(c).alias(c) for c in COUNTERS], F.max("last_run_at").alias("last_run_at"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentlake.functions.text import content_tokens
-from talentlake.functions.vectors import cosine
+from talentlake.functions.vectors import cosine_to, hash_embedding
 
 
 def vector_search(rows: DataFrame, query: Sequence[float], key: str, limit: int | None = 10, skip: int = 0, threshold: float = 0.0, where: Column | None = None, vector: str = "embedding") -> DataFrame:
@@ -20,7 +20,7 @@ def vector_search(rows: DataFrame, query: Sequence[float], key: str, limit: int
         return rows.select(key, F.lit(0.0).alias("score")).limit(0)
     if where is not None:
         rows = rows.where(where)
-    scored = rows.where(F.col(vector).isNotNull()).select(key, cosine(F.array(*[F.lit(float(x)) for x in query]), F.col(vector)).alias("score"))
+    scored = rows.where(F.col(vector).isNotNull()).select(key, cosine_to(query, F.col(vector)).alias("score"))
     if threshold > 0:
         scored = scored.where(F.col("score") >= threshold)
     hits = scored.orderBy(F.desc("score"), key).offset(skip)
@@ -43,15 +43,40 @@ def scaled(hits: DataFrame) -> DataFrame:
     return hits.join(F.broadcast(ends)).withColumn("score", F.when(span > 0, (F.col("score") - F.col("lo")) / span).otherwise(1.0)).drop("lo", "hi")
 
 
-def hybrid_search(rows: DataFrame, query: Sequence[float], text: str, key: str, columns: Sequence[str], limit: int = 10, alpha: float = 0.6, where: Column | None = None, threshold: float = 0.0) -> DataFrame:
-    """(key, score): ``alpha`` of the vector leg and the rest of the lexical leg, each of the best 2 * limit rows; a side that lacks a row counts 0."""
+def blended(near: DataFrame, hits: DataFrame, key: str, limit: int, alpha: float = 0.6) -> DataFrame:
+    """(key, score): ``alpha`` of the scaled vector scores and the rest of the scaled lexical ones; a side that lacks a row counts 0."""
+    v, t = scaled(near).withColumnRenamed("score", "v"), scaled(hits).withColumnRenamed("score", "t")
+    blend = F.lit(alpha) * F.coalesce("v", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("t", F.lit(0.0))
+    return v.join(t, key, "full").select(key, blend.alias("score")).orderBy(F.desc("score"), key).limit(limit)
+
+
+def hybrid_search(
+    rows: DataFrame, query: Sequence[float], text: str, key: str, columns: Sequence[str], limit: int = 10, alpha: float = 0.6,
+    where: Column | None = None, threshold: float = 0.0, texts: DataFrame | None = None,
+) -> DataFrame:
+    """(key, score) by a blend of a vector leg and a lexical leg, each of its best 2 * limit rows.
+
+    ``texts`` holds the text columns where they lie in a table of their own; each leg then reads its own table alone.
+    """
     near = vector_search(rows, query, key, 2 * limit, where=where, threshold=threshold)
     if not text.strip():
         return near.limit(limit)
-    v = scaled(near).withColumnRenamed("score", "v")
-    t = scaled(text_search(rows, text, key, columns, 2 * limit, where)).withColumnRenamed("score", "t")
-    blend = F.lit(alpha) * F.coalesce("v", F.lit(0.0)) + F.lit(1 - alpha) * F.coalesce("t", F.lit(0.0))
-    return v.join(t, key, "full").select(key, blend.alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    return blended(near, text_search(rows if texts is None else texts, text, key, columns, 2 * limit, where), key, limit, alpha)
+
+
+def search(
+    rows: DataFrame, key: str, text: str = "", query: Sequence[float] | None = None, columns: Sequence[str] = ("text",), limit: int = 10, skip: int = 0,
+    where: Column | None = None, threshold: float = 0.0, hybrid: bool = False, alpha: float = 0.6,
+) -> DataFrame:
+    """The search service: a text is embedded where no query vector is given, scores are rounded to four places, hits come with their rows."""
+    if query is None:
+        one = rows.sparkSession.createDataFrame([(text,)], "t string").select(hash_embedding(F.col("t")).alias("v")).first()
+        query = one["v"]
+    if hybrid:
+        hits = hybrid_search(rows, query, text, key, columns, limit + skip, alpha, where, threshold).orderBy(F.desc("score"), key).offset(skip)
+    else:
+        hits = vector_search(rows, query, key, limit, skip, threshold, where)
+    return hydrate(hits.select(key, F.round("score", 4).alias("score")), rows, key)
 
 
 def hydrate(hits: DataFrame, rows: DataFrame, key: str) -> DataFrame:

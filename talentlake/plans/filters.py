@@ -23,6 +23,7 @@ LEVEL_MARKS = (
     r"(?i)\b(?:sde|swe|engineer|developer|dev|scientist|analyst|programmer|consultant)\s*[-–—]?\s*(?:[2-9]|ii|iii|iv|v|vi)\b"
     r"|\blevel\s*[2-9]\b|\bl[2-9]\b|\bs?mts\b|\bpmts\b|\b(?:ic|pl)[-\s]?[2-9]\b|\b[2-9]\s*/\s*[2-9]\b"
 )
+#: Phrases that ask for experience, and words of entry levels that outweigh them.
 EXPERIENCED = r"\b(?:experienced professional|seasoned|veteran|extensive experience|highly experienced|proven track record|expert-level)\b"
 ENTRY_WORDS = r"\b(?:fresher|freshers|graduate|new grad|campus|entry[- ]level|junior|jr\.?|associate|trainee|intern|internship|apprentice|early career|early talent)\b"
 #: Title terms of the target profile, and of functions outside it.

@@ -9,7 +9,7 @@ from talentlake.functions import parse, terms
 from talentlake.functions.text import content_tokens, fingerprint, url_key
 from talentlake.functions.vectors import hash_embedding
 from talentlake.operators import analytics, store
-from talentlake.operators.rank import Resume, rank, top_matches
+from talentlake.operators.rank import Resume, best_matches, rank
 from talentlake.operators.shared import cut
 from talentlake.plans import dedup, filters
 from talentlake.plans import oracle as o
@@ -57,13 +57,7 @@ def normalize_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs_v(spark, sf_dir).select("seq", parse.experience(F.col("description")).alias("e")).select("seq", "e.*")
 
 
-@query(
-    ORACLE_JOBS
-    + """SELECT j.seq, s.min_amount, s.max_amount, s.currency, s.period FROM jobs_v j LEFT JOIN (VALUES
-  ('8+ years Java, Spring, Kubernetes. $120k - $150k per year', 120000.0::DOUBLE, 150000.0::DOUBLE, 'USD', 'year'), ('SQL, Python, dashboards. Fresher. 25-35 LPA', 2500000.0, 3500000.0, 'INR', 'year'),
-  ('Minimum 4 years of experience. 1.2 crore CTC', 12000000.0, NULL, 'INR', 'year'), ('Docker and AWS, strong communication. stipend 25000 per month, 6-month internship', 25000.0, NULL, NULL, 'month')
-  ) s(d, min_amount, max_amount, currency, period) ON j.description = s.d"""
-)
+@query(f"{ORACLE_JOBS.rstrip()}, {o.salary('jobs_v')} SELECT seq, min_amount, max_amount, currency, period FROM paid")
 def normalize_salary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs_v(spark, sf_dir).select("seq", parse.salary(F.col("description")).alias("s")).select("seq", "s.*")
 
@@ -84,33 +78,24 @@ def normalize_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs_v(spark, sf_dir).groupBy("title", parse.role(F.col("title")).alias("normalized_role")).agg(F.count("*").alias("n"))
 
 
-#: What the sample texts hold, read by eye: description -> skills in order of category.
-_HELD = (
-    ("Build RAG with Python, FastAPI, PyTorch. 0-2 years.", "Python;FastAPI;PyTorch;RAG"), ("8+ years Java, Spring, Kubernetes. $120k - $150k per year", "Java;Spring;Kubernetes"),
-    ("SQL, Python, dashboards. Fresher. 25-35 LPA", "Python;SQL"), ("Docker and AWS, strong communication. stipend 25000 per month, 6-month internship", "AWS;Docker;Communication"),
-)
-_SKILLS = (
-    ORACLE_JOBS
-    + ", held(d, s) AS (VALUES "
-    + ", ".join(f"({q(d)}, {q(s)})" for d, s in _HELD)
-    + "), skilled AS (SELECT j.seq, concat_ws(';', h.s, CASE WHEN j.title = 'Leadership Coach' THEN 'Leadership' END) AS skills FROM jobs_v j LEFT JOIN held h ON j.description = h.d)\n"
-)
+_TEXT = "concat_ws(' ', title, description)"
+_SKILLS = f"{ORACLE_JOBS.rstrip()}, skilled AS (SELECT seq, {o.skills(_TEXT, o.ALL_SKILLS)} AS listed, {o.skills(_TEXT, terms.TECHNICAL)} AS technical FROM jobs_v)\n"
 
 
-@query(_SKILLS + "SELECT seq, skills FROM skilled")
+@query(_SKILLS + "SELECT seq, array_to_string(listed, ';') AS skills FROM skilled")
 def skills_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, found, _ = terms.extract_skills(F.concat_ws(" ", "title", "description"))
     return jobs_v(spark, sf_dir).select("seq", F.array_join(found, ";").alias("skills"))
 
 
-@query(_SKILLS + "SELECT k AS key, count(*) AS n FROM (SELECT seq, unnest(string_split(skills, ';')) AS k FROM skilled WHERE skills <> '') GROUP BY 1 ORDER BY 2 DESC, min(seq), 1 LIMIT 10")
+@query(_SKILLS + "SELECT k AS key, count(*) AS n FROM (SELECT seq, unnest(listed) AS k FROM skilled) GROUP BY 1 ORDER BY 2 DESC, min(seq), 1 LIMIT 10")
 def top_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.top_counts(jobs(spark, sf_dir), F.col("skills"), 10, explode=True)
 
 
 @query(
     _SKILLS
-    + """, x AS (SELECT seq, unnest(string_split(skills, ';')) AS k FROM skilled WHERE skills <> '')
+    + """, x AS (SELECT seq, unnest(listed) AS k FROM skilled)
 SELECT k AS key, count(*) AS n FROM x WHERE lower(k) NOT IN ('python', 'pytorch', 'docker', 'sql') GROUP BY 1 ORDER BY 2 DESC, min(seq), 1 LIMIT 20"""
 )
 def skill_gap_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +125,11 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.duplicate_groups(jobs(spark, sf_dir)).select("content_fingerprint", "count")
 
 
+@query(f"{o.JOBS[:-1]}, f AS (SELECT seq, concat(normalized_role, ' @ ', company) AS label, {o.fingerprint(_TEXT)} AS fp FROM jobs), g AS (SELECT *, count(*) OVER (PARTITION BY fp) AS n, min(seq) OVER (PARTITION BY fp) AS first FROM f WHERE fp <> '') SELECT fp AS content_fingerprint, n AS count, first, seq, label FROM g WHERE n > 1")
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.duplicate_members(jobs(spark, sf_dir))
+
+
 _WORDS = lambda x: f"array_to_string(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'), ' ')"
 _PLACE = "concat_ws(' ', coalesce(city, ''), coalesce(country, ''))"
 
@@ -199,13 +189,10 @@ def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_sets(sets.select("id", "tokens")).select("a", "b", F.round("score", 6).alias("score")).unionByName(members)
 
 
-_SALARY = f"""{o.JOBS[:-1]}, paid AS (SELECT seq, CASE description WHEN '8+ years Java, Spring, Kubernetes. $120k - $150k per year' THEN 135000.0 WHEN 'SQL, Python, dashboards. Fresher. 25-35 LPA' THEN 3000000.0
-  WHEN 'Minimum 4 years of experience. 1.2 crore CTC' THEN 12000000.0 WHEN 'Docker and AWS, strong communication. stipend 25000 per month, 6-month internship' THEN 25000.0 END::DOUBLE AS amount,
-  CASE WHEN description LIKE '8+%' THEN 'USD' WHEN description LIKE 'Docker%' THEN '?' ELSE 'INR' END AS currency, CASE WHEN description LIKE 'Docker%' THEN 'month' ELSE 'year' END AS period FROM jobs)
-"""
+_PAID = f"{ORACLE_JOBS.rstrip()}, {o.salary('jobs_v')}, amounts AS (SELECT seq, coalesce(currency, '?') AS currency, coalesce(period, 'year') AS period, (min_amount + coalesce(nullif(max_amount, 0), min_amount)) / 2 AS amount FROM paid WHERE min_amount IS NOT NULL)\n"
 
 
-@query(_SALARY + "SELECT currency, period, count(*) AS count, min(amount) AS min, max(amount) AS max, round(avg(amount), 2) AS avg, round(median(amount), 2) AS median FROM paid WHERE amount IS NOT NULL GROUP BY 1, 2")
+@query(_PAID + "SELECT currency, period, count(*) AS count, min(amount) AS min, max(amount) AS max, round(avg(amount), 2) AS avg, round(median(amount), 2) AS median FROM amounts GROUP BY 1, 2")
 def salary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.salary_stats(jobs(spark, sf_dir))
 
@@ -248,21 +235,24 @@ _RANKED = (
     _SKILLS.rstrip()
     + ", "
     + o.JOBS[len(ORACLE_JOBS) :].lstrip(", \n").rstrip()
-    + """, parts AS (
-  SELECT j.seq, j.title, s.skills,
-    CASE WHEN s.skills LIKE 'Python;FastAPI%' THEN 0.5 WHEN s.skills LIKE 'Java%' THEN 0.0 WHEN s.skills LIKE 'Python;SQL%' THEN 1.0 WHEN s.skills LIKE 'AWS%' THEN 0.5 ELSE 0.5 END AS skill,
+    + ", "
+    + o.salary("jobs")
+    + f""", matched AS (
+  SELECT seq, listed, list_filter(listed, lambda s: list_contains(technical, s)) AS needed, list_filter(listed, lambda s: list_contains(technical, s) AND lower(s) IN ({", ".join(q(s.lower()) for s in RESUME.skills)})) AS met FROM skilled
+), parts AS (
+  SELECT j.seq, j.title, CAST(CASE WHEN len(needed) > 0 THEN round(len(met) / len(needed), 4) ELSE 0.5 END AS DECIMAL(9, 4)) AS skill,
     CASE WHEN min_years IS NULL THEN 0.7 WHEN min_years <= 2 THEN 1.0 ELSE greatest(0, 1 - (CAST(min_years AS DECIMAL(9, 3)) - 2) * 0.2) END AS experience,
     CASE WHEN is_remote THEN 1.0 WHEN lower(city) = 'bangalore' OR country = 'IN' THEN 1.0 ELSE 0.2 END AS place,
     8 - (CASE WHEN description IS NULL THEN 1 ELSE 0 END) - (CASE WHEN city IS NULL AND country IS NULL AND NOT is_remote THEN 1 ELSE 0 END)
-      - (CASE WHEN description LIKE '%LPA' OR description LIKE '%CTC' OR description LIKE '%per year' OR description LIKE '%stipend%' THEN 0 ELSE 1 END) - (CASE WHEN s.skills = '' THEN 1 ELSE 0 END) AS present,
-    (CASE WHEN city IS NULL AND country IS NULL AND NOT is_remote THEN 10 ELSE 0 END) + (CASE WHEN employment_type = 'unknown' THEN 5 ELSE 0 END) + (CASE WHEN level = 'unknown' THEN 5 ELSE 0 END) + (CASE WHEN s.skills = '' THEN 10 ELSE 0 END) AS lost
-  FROM jobs j JOIN skilled s USING (seq)
+      - (CASE WHEN min_amount IS NULL THEN 1 ELSE 0 END) - (CASE WHEN len(listed) = 0 THEN 1 ELSE 0 END) AS present,
+    (CASE WHEN city IS NULL AND country IS NULL AND NOT is_remote THEN 10 ELSE 0 END) + (CASE WHEN employment_type = 'unknown' THEN 5 ELSE 0 END) + (CASE WHEN level = 'unknown' THEN 5 ELSE 0 END) + (CASE WHEN len(listed) = 0 THEN 10 ELSE 0 END) AS lost
+  FROM paid j JOIN matched s USING (seq)
 )
 """
 )
 
 
-@query(_RANKED + "SELECT seq, CAST(skill * 1000 AS BIGINT) AS skill, CAST(round(experience * 1000) AS BIGINT) AS experience, CAST(place * 1000 AS BIGINT) AS location, CAST(present * 125 AS BIGINT) AS completeness, CAST(100 - lost AS BIGINT) AS normalization FROM parts")
+@query(_RANKED + "SELECT seq, CAST(round(skill * 1000) AS BIGINT) AS skill, CAST(round(experience * 1000) AS BIGINT) AS experience, CAST(place * 1000 AS BIGINT) AS location, CAST(present * 125 AS BIGINT) AS completeness, CAST(100 - lost AS BIGINT) AS normalization FROM parts")
 def rank_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of the composite score, in thousandths (hundredths for normalisation)."""
     ranked = rank(jobs(spark, sf_dir), RESUME, now())
@@ -270,10 +260,7 @@ def rank_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("seq", k("match.skill").alias("skill"), k("match.experience").alias("experience"), k("match.location").alias("location"), k("quality.completeness").alias("completeness"), k("quality.normalization", 100).alias("normalization"))
 
 
-_SCORE = (
-    "24 * skill + 14 * experience + 10 * place + 10 * 0.5"
-    " + 5 * (0.20 + 0.25 * (1 - lost / 100) + 0.15 + 0.15 + 0.25 * present / 8)"
-)
+_SCORE = "round(24 * skill + 14 * experience + 10 * place + 10 * 0.5 + 5 * (0.20 + 0.25 * (1 - lost * 0.01) + 0.15 + 0.15 + 0.03125 * present), 2)"
 
 
 @query(_RANKED.rstrip() + f", s AS (SELECT seq, title, CAST({_SCORE} AS DOUBLE) AS score FROM parts) SELECT seq, title, CAST(floor(score) AS BIGINT) AS points FROM s ORDER BY round(score, 1) DESC, seq LIMIT 50")
@@ -299,7 +286,7 @@ def rank_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talentlake.functions.vectors import Hasher
 
     vector = [float(x) for x in Hasher().encode(["python pytorch rag machine learning engineer"])[0]]
-    return top_matches(rank(rows, Resume("ai", vector, RESUME.skills, RESUME.preferred_locations), now()), 50).select("seq", "role", "match")
+    return best_matches(rows, Resume("ai", vector, RESUME.skills, RESUME.preferred_locations), now(), 50).select("seq", "role", "match")
 
 
 @query(o.JOBS + "SELECT seq, company AS company, title AS role, normalized_role, coalesce(city, country, CASE WHEN is_remote THEN 'Remote' END, '') AS location, work_mode, employment_type, min_years AS experience_min_years, level AS seniority, url AS apply_url FROM jobs")

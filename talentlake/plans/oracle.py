@@ -99,3 +99,32 @@ def rejected_by(now: str, max_hours: float) -> str:
     off = f"regexp_matches({title}, {q(words(filters.EXCLUDED_TERMS))}) OR NOT regexp_matches({title}, {q(words(filters.TARGET_TERMS))})"
     late = f"epoch_us(TIMESTAMP '{now}') - epoch_us(posted_date) > {int(max_hours * 3_600_000_000)}"
     return f"CASE WHEN {senior} THEN 'seniority' WHEN {off} THEN 'role_relevance' WHEN {late} THEN 'freshness' END"
+
+
+def skills(x: str, categories: tuple[str, ...]) -> str:
+    """The skills of these categories in a text, category by category, long synonyms first: each synonym's pattern in order, the first of equals kept."""
+    import re
+
+    each = []
+    for category in categories:
+        for s, c in terms.synonyms(terms.SKILLS.get(category, {})):
+            pattern = "(^|[^\\pL\\pN])" + re.escape(s).replace("\\ ", " ") + "($|[^\\pL\\pN])"
+            each.append(f"CASE WHEN regexp_matches(lower({x}), {q(pattern)}) THEN {q(c)} END")
+    listed = f"list_filter([{', '.join(each)}], lambda v: v IS NOT NULL)"
+    return f"list_filter({listed}, lambda v, i: list_position({listed}, v) = i)"
+
+
+ALL_SKILLS = tuple(c for c in terms.SKILLS if c not in terms.NO_SKILLS)
+
+
+def salary(source: str, x: str = "description") -> str:
+    """Common table expressions up to paid (the columns of ``source``, min_amount, max_amount, currency, period): the first figure with a sign of money."""
+    groups = ", ".join(f"regexp_extract_all(trim(coalesce({x}, '')), {q(parse.SALARY)}, {k})" for k in range(1, 8))
+    factor = lambda g: "CASE lower(z[%d]) WHEN 'crore' THEN 1e7 WHEN 'crores' THEN 1e7 WHEN 'cr' THEN 1e7 WHEN 'k' THEN 1e3 WHEN 'lpa' THEN 1e5 WHEN 'lakh' THEN 1e5 WHEN 'lakhs' THEN 1e5 WHEN 'lac' THEN 1e5 WHEN 'lacs' THEN 1e5 END" % g
+    sign = "lower(coalesce(nullif(z[1], ''), nullif(z[4], '')))"
+    return f"""money AS (SELECT *, list_filter(list_zip({groups}), lambda z: z[1] <> '' OR z[3] <> '' OR z[4] <> '' OR z[6] <> '' OR z[7] <> '')[1] AS z FROM {source}),
+factors AS (SELECT *, {factor(3)} AS m1, {factor(6)} AS m2, {factor(7)} AS unit FROM money),
+figures AS (SELECT *, coalesce(m1, m2, unit, 1.0) AS f1, coalesce(m2, m1, unit, 1.0) AS f2, CAST(nullif(replace(z[2], ',', ''), '') AS DOUBLE) AS n1, CAST(nullif(replace(z[5], ',', ''), '') AS DOUBLE) AS n2 FROM factors),
+paid AS (SELECT * EXCLUDE (z, m1, m2, unit, f1, f2, n1, n2), CASE WHEN z IS NOT NULL THEN round(least(n1 * f1, n2 * f2), 2) END AS min_amount, CASE WHEN n2 IS NOT NULL THEN round(greatest(n1 * f1, n2 * f2), 2) END AS max_amount,
+  CASE WHEN z IS NULL THEN NULL WHEN {sign} IN ('₹', 'rs', 'rs.', 'inr') THEN 'INR' WHEN {sign} IN ('$', 'usd') THEN 'USD' WHEN {sign} IN ('€', 'eur') THEN 'EUR' WHEN {sign} IN ('£', 'gbp') THEN 'GBP' WHEN greatest(f1, f2) >= 1e5 THEN 'INR' END AS currency,
+  CASE WHEN z IS NULL THEN NULL WHEN z[7] = '' OR unit IS NOT NULL THEN 'year' WHEN contains(replace(lower(z[7]), ' ', ''), 'hour') THEN 'hour' WHEN contains(replace(lower(z[7]), ' ', ''), 'month') THEN 'month' ELSE 'year' END AS period FROM figures)"""
