@@ -64,11 +64,16 @@ def validate(rows: DataFrame, countries: Sequence[str] | None = None) -> DataFra
     """``rows`` (row_no and canonical columns) with issues, an array of (code, field, severity), and valid.
 
     Every occurrence after the first of a slug, career URL or token is a duplicate, whether the first is valid or
-    not.  Values that only warn are set to null.
+    not.  Values that only warn are set to null.  The first row of each value comes from an aggregate, so nulls and common
+    values gather nowhere.  ``row_no`` must be unique.
     """
     have = set(rows.columns)
+    for c in (c for c in ("slug", "career_url", "ats_token") if c in have):
+        first = rows.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"__{c}")).agg(F.min("row_no").alias(f"__first_{c}"))
+        # a null meets nothing, under a key of its own
+        rows = rows.withColumn("__key", F.coalesce(c, F.concat(F.lit("\x00"), F.col("row_no").cast("string")))).join(first, F.col("__key") == F.col(f"__{c}"), "left").drop("__key", f"__{c}")
     col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
-    again = lambda c: F.col(c).isNotNull() & (F.row_number().over(W.partitionBy(c).orderBy("row_no")) > 1) if c in have else F.lit(False)
+    again = lambda c: F.coalesce(F.col("row_no") > F.col(f"__first_{c}"), F.lit(False)) if c in have else F.lit(False)
     not_in = lambda c, values: F.coalesce(~F.lower(col(c)).isin(*values), F.lit(False))
     issues = [
         _issue(blank(col("name")) == "", "missing_required_field", "name"),
@@ -82,7 +87,7 @@ def validate(rows: DataFrame, countries: Sequence[str] | None = None) -> DataFra
     if countries is not None:
         issues.append(_issue(F.coalesce(~F.upper(col("country")).isin(*[c.upper() for c in countries]), F.lit(False)), "unsupported_country", "country"))
     issues += [_issue(again(c), code, c) for c, code in (("slug", "duplicate_slug"), ("career_url", "duplicate_career_url"), ("ats_token", "duplicate_board_token"))]
-    checked = rows.withColumn("issues", F.array_compact(F.array(*issues)))
+    checked = rows.withColumn("issues", F.array_compact(F.array(*issues))).drop("__first_slug", "__first_career_url", "__first_ats_token")
     checked = checked.withColumn("valid", ~F.exists("issues", lambda i: i["severity"] == "error"))
     allowed = {"ats_type": ATS_TYPES, "hiring_category": HIRING_CATEGORIES, "company_category": COMPANY_CATEGORIES, "crawl_frequency": CRAWL_FREQUENCIES}
     return checked.withColumns({c: F.when(F.lower(c).isin(*v), F.lower(c)) for c, v in allowed.items() if c in have})
@@ -180,6 +185,51 @@ def fill_platforms(companies: DataFrame, least: float = 0.9) -> DataFrame:
     return rows.withColumn("updated", change).withColumns({c: F.when(change, F.coalesce(f"__d.{d}", c)).otherwise(F.col(c)) for c, d in set_to.items()}).drop("__d")
 
 
+#: What a seed record has where nothing is known.
+SEED_DEFAULTS = {
+    "country": "IN", "company_category": "unknown", "ats_type": "unknown", "crawl_frequency": "weekly", "active_status": True,
+    "priority_score": 50, "ai_hiring_score": 50, "remote_support": False,
+}
+
+
+def enrich_seeds(records: DataFrame) -> DataFrame:
+    """Seed records with defaults for what is missing or empty, and the platform that their URL tells; ats_detected says where it did.
+
+    A detected platform's token and name fill what is empty.  Columns of SEED_DEFAULTS, ats_token, career_platform and lists that are missing are added.
+    """
+    have = dict(records.dtypes)
+    value = lambda c, v: F.coalesce(F.nullif(F.col(c), F.lit("")) if have[c] == "string" else F.col(c), F.lit(v).cast(have[c])) if c in have else F.lit(v)
+    rows = records.withColumns({c: value(c, v) for c, v in SEED_DEFAULTS.items()})
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) if c in have else F.array().cast("array<string>") for c in LISTS})
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("ats_token", "career_platform") if c not in have})
+    rows = rows.withColumn("__d", detect_platform(F.col("career_url")))
+    found = (F.lower("ats_type") == "unknown") & (F.col("__d.ats_type") != "unknown")
+    fill = lambda c, d: F.when(found, F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"__d.{d}"))).otherwise(F.col(c))
+    rows = rows.withColumns({"ats_detected": found, "ats_token": fill("ats_token", "token"), "career_platform": fill("career_platform", "platform")})
+    return rows.withColumn("ats_type", F.when(F.col("ats_detected"), F.col("__d.ats_type")).otherwise(F.col("ats_type"))).drop("__d")
+
+
+def seed_stats(records: DataFrame) -> DataFrame:
+    """One row of counts over enriched records (with from_seed): total, from_seed_only, from_metadata, ats_detected, with_known_ats, remote_supported."""
+    from_seed = F.coalesce(F.col("from_seed"), F.lit(False))
+    return records.agg(
+        F.count("*").alias("total"), F.count_if(from_seed).alias("from_seed_only"), F.count_if(~from_seed).alias("from_metadata"), F.count_if("ats_detected").alias("ats_detected"),
+        F.count_if(F.coalesce(F.col("ats_type"), F.lit("")) != "unknown").alias("with_known_ats"), F.count_if("remote_support").alias("remote_supported"),
+    )
+
+
+def seed_counts(records: DataFrame, by: str) -> DataFrame:
+    """(value, n) of records by category or platform, most frequent first."""
+    return records.groupBy(F.coalesce(F.nullif(F.col(by).cast("string"), F.lit("")), F.lit("unknown")).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
+
+
+def import_history(checked: DataFrame, stored: DataFrame, source: str, checksum: str, now: Column) -> DataFrame:
+    """One row on an import: source, checksum, counts of rows by outcome, and when."""
+    stats = import_stats(checked)
+    done = import_plan(checked.where("valid").select("slug"), stored).agg(F.count_if(F.col("action") == "insert").alias("inserted"), F.count_if(F.col("action") == "update").alias("updated"))
+    return stats.join(F.broadcast(done)).withColumns({"source": F.lit(source), "checksum": F.lit(checksum), "imported_at": now})  # one row each
+
+
 def route(companies: DataFrame, sources: DataFrame, registered: Sequence[str], order: Sequence[str] = ("ats", "career_page"), career_collector: str = "career_page", require_registered: bool = True) -> DataFrame:
     """Routing decisions: routed, collector, strategy, collector_available and reason, the first strategy that works winning.
 
@@ -209,9 +259,8 @@ def routing_summary(decisions: DataFrame) -> DataFrame:
 
 
 def work_list(decisions: DataFrame) -> DataFrame:
-    """Routed companies as targets, listed by collector."""
-    target = F.struct("slug", "name", F.coalesce("ats_token", "slug").alias("board_token"), "career_url")
-    return decisions.where("routed").groupBy("collector").agg(F.array_sort(F.collect_list(target)).alias("targets"))
+    """Routed companies as targets of their collector, one row each: collector, slug, name, board_token and career_url."""
+    return decisions.where("routed").select("collector", "slug", "name", F.coalesce("ats_token", "slug").alias("board_token"), "career_url")
 
 
 def merge_seeds(metadata: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -225,6 +274,7 @@ def merge_seeds(metadata: DataFrame, seeds: DataFrame) -> DataFrame:
     order = W.partitionBy("slug").orderBy("__from", "seq")
     both = both.withColumns({"__k": F.row_number().over(order), "__fill": F.first("career_url", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
     one = both.where("__k = 1").withColumn("career_url", F.coalesce("career_url", "__fill"))
-    owner = F.row_number().over(W.partitionBy("__url").orderBy("__from", "seq"))
-    kept = one.withColumn("__o", F.when(F.col("__url").isNull(), 1).otherwise(owner)).where("__o = 1")
-    return kept.drop("__k", "__o", "__url", "__fill", "__from").orderBy(F.desc(F.coalesce(F.col("priority_score").cast("double"), F.lit(0.0))), F.lower("name"), "slug")
+    owner = one.where("__url IS NOT NULL").groupBy(F.col("__url").alias("__of")).agg(F.min_by("slug", F.struct("__from", "seq", "slug")).alias("__owner"))
+    own_key = F.coalesce("__url", F.concat(F.lit("\x00"), F.col("slug")))  # records without a URL meet nothing, under a key of their own
+    kept = one.withColumn("__key", own_key).join(owner, F.col("__key") == F.col("__of"), "left").where("__owner IS NULL OR __owner = slug")
+    return kept.drop("__k", "__url", "__fill", "__from", "__key", "__of", "__owner").orderBy(F.desc(F.coalesce(F.col("priority_score").cast("double"), F.lit(0.0))), F.lower("name"), "slug")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain, islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,69 +50,127 @@ def seed_rows(companies: DataFrame) -> DataFrame:
     return companies.select(*[F.array_join(f.name, ";").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in companies.schema])
 
 
-def report(jobs: DataFrame, parts: dict[str, DataFrame], meta: dict, limit: int = 50) -> dict:
-    """A report of bounded size: meta, the first ``limit`` rows of each part and the best jobs."""
-    rows = lambda df: [r.asDict(recursive=True) for r in df.limit(limit).collect()]
-    return {"meta": meta, "analytics": {k: rows(v) for k, v in parts.items()}, "jobs": rows(jobs)}
+def write_seeds(companies: DataFrame, folder: str, name: str = "companies") -> None:
+    """Companies as CSV and JSON lines by all tasks, and as one YAML document, written row by row."""
+    import yaml
 
+    write_csv(seed_rows(companies), f"{folder}/{name}.csv")
+    write_ndjson(companies, f"{folder}/{name}.json")
+    with open(f"{folder}/{name}.yaml", "w", encoding="utf-8") as f:
+        f.write("companies:\n")
+        for row in _rows(companies):
+            f.write(yaml.safe_dump([row], sort_keys=False, allow_unicode=True))
 
-def to_json(data: dict, pretty: bool = True) -> str:
-    return json.dumps(data, default=str, ensure_ascii=False, indent=2 if pretty else None)
 
+@dataclass
+class Report:
+    """What a report shows: facts about it, and tables by title in order.
 
-def to_html(data: dict, title: str = "Job report", theme: str = "light") -> str:
-    """One self-contained page with a table for each part."""
-    ink, paper = ("#111", "#fff") if theme == "light" else ("#eee", "#111")
+    Tables stay DataFrames; exporters read all their rows, a partition at a time.
+    """
 
-    def grid(rows: list[dict]) -> str:
-        if not rows:
-            return "<p>No rows.</p>"
-        cell = lambda tag, x: f"<{tag}>{html.escape('' if x is None else str(x))}</{tag}>"
-        head = "".join(cell("th", c) for c in rows[0])
-        return f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(cell("td", v) for v in r.values()) + "</tr>" for r in rows) + "</table>"
+    meta: dict
+    tables: dict[str, DataFrame]
+    title: str = "Job report"
 
-    body = "".join(f"<h2>{html.escape(k)}</h2>{grid(v)}" for k, v in [*data["analytics"].items(), ("jobs", data["jobs"])])
-    style = f"body{{font-family:sans-serif;color:{ink};background:{paper}}}td,th{{padding:.2em .6em;border-bottom:1px solid #8888}}"
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1>{body}</body></html>"
 
+def report(jobs: DataFrame, parts: dict[str, DataFrame], meta: dict, title: str = "Job report") -> Report:
+    return Report(meta, {**parts, "jobs": jobs}, title)
 
-def _excel(data: dict, path: str) -> None:
-    import openpyxl
 
-    book = openpyxl.Workbook()
-    for k, rows in [*data["analytics"].items(), ("jobs", data["jobs"])]:
-        sheet = book.create_sheet(k[:31])
-        for r in ([list(rows[0])] if rows else []) + [[str(v) if isinstance(v, (dict, list)) else v for v in r.values()] for r in rows]:
-            sheet.append(r)
-    del book[book.sheetnames[0]]
-    book.save(path)
+def _rows(table: DataFrame) -> Iterator[dict]:
+    return (r.asDict(recursive=True) for r in table.toLocalIterator())
+
+
+def write_json(data: Report, path: str) -> None:
+    """One JSON object: meta, and a list of rows for each table."""
+    said = lambda x: json.dumps(x, default=str, ensure_ascii=False)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'{{"meta": {said(data.meta)}')
+        for name, table in data.tables.items():
+            f.write(f",\n{said(name)}: [")
+            for k, row in enumerate(_rows(table)):
+                f.write(("," if k else "") + "\n" + said(row))
+            f.write("]")
+        f.write("}\n")
+
+
+def write_html(data: Report, path: str, theme: str = "light") -> None:
+    """One self-contained page with all rows of each table."""
+    ink, paper = ("#111", "#fff") if theme == "light" else ("#eee", "#111")
+    cells = lambda tag, values: "".join(f"<{tag}>{html.escape('' if x is None else str(x))}</{tag}>" for x in values)
+    style = f"body{{font-family:sans-serif;color:{ink};background:{paper}}}td,th{{padding:.2em .6em;border-bottom:1px solid #8888}}"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(data.title)}</title><style>{style}</style></head><body><h1>{html.escape(data.title)}</h1>")
+        f.write(f"<table>{''.join(f'<tr>{cells('td', kv)}</tr>' for kv in data.meta.items())}</table>")
+        for name, table in data.tables.items():
+            f.write(f"<h2>{html.escape(name)}</h2><table><tr>{cells('th', table.columns)}</tr>")
+            for row in _rows(table):
+                f.write(f"<tr>{cells('td', row.values())}</tr>\n")
+            f.write("</table>")
+        f.write("</body></html>")
+
+
+#: Fixed value: how many rows a sheet can hold.
+SHEET_ROWS = 1_048_576
 
 
-def _pdf(data: dict, path: str) -> None:
-    from reportlab.platypus import SimpleDocTemplate, Table
+def write_excel(data: Report, path: str) -> None:
+    """A workbook with a summary and a sheet for each table; one too long for a sheet goes on in the next."""
+    import openpyxl
 
-    parts = [Table([list(rows[0])] + [[str(v)[:40] for v in r.values()] for r in rows[:20]]) for rows in [*data["analytics"].values(), data["jobs"]] if rows]
-    SimpleDocTemplate(path).build(parts)
+    book = openpyxl.Workbook(write_only=True)
+    summary = book.create_sheet("Summary")
+    for pair in ((data.title, ""), *data.meta.items()):
+        summary.append([str(x) for x in pair])
+    for name, table in data.tables.items():
+        sheet, left, part = None, 0, 0
+        for row in chain([None], _rows(table)):
+            if not left:
+                part += 1
+                sheet, left = book.create_sheet(f"{name[:27]} {part}" if part > 1 else name[:31]), SHEET_ROWS - 1
+                sheet.append(table.columns)
+            if row is not None:
+                sheet.append([str(v) if isinstance(v, (dict, list)) else v for v in row.values()])
+                left -= 1
+    book.save(path)
 
 
-def _text(render: Callable[[dict], str]) -> Callable[[dict, str], None]:
-    def write(data: dict, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(render(data))
+def write_pdf(data: Report, path: str, rows: int = 500) -> None:
+    """All tables, whole cells wrapped, each in parts of ``rows`` rows that repeat the header."""
+    from reportlab.lib.styles import getSampleStyleSheet
+    from reportlab.platypus import Paragraph, SimpleDocTemplate, Table
 
-    return write
+    styles = getSampleStyleSheet()
+    cell = lambda v: Paragraph(html.escape("" if v is None else str(v)), styles["BodyText"])
+    story = [Paragraph(html.escape(data.title), styles["Title"])]
+    for name, table in data.tables.items():
+        story.append(Paragraph(html.escape(name), styles["Heading2"]))
+        lines = ([cell(v) for v in row.values()] for row in _rows(table))
+        while part := list(islice(lines, rows)):
+            story.append(Table([[cell(c) for c in table.columns], *part], repeatRows=1))
+    SimpleDocTemplate(path).build(story)
 
 
-EXPORTERS: dict[str, Callable[[dict, str], None]] = {"json": _text(to_json), "html": _text(to_html), "excel": _excel, "pdf": _pdf}
+EXPORTERS: dict[str, Callable[[Report, str], None]] = {"json": write_json, "html": write_html, "excel": write_excel, "pdf": write_pdf}
 
 
-def export(fmt: str, data: dict, path: str) -> None:
+def export(fmt: str, data: Report, path: str) -> None:
     """Writes a report; ``excel`` and ``pdf`` raise ImportError without their libraries."""
     if fmt not in EXPORTERS:
         raise ValueError(f"unknown format {fmt!r}; known are {sorted(EXPORTERS)}")
     EXPORTERS[fmt](data, path)
 
 
+def workbook(jobs: DataFrame, parts: dict[str, DataFrame], meta: dict, best: int = 50) -> Report:
+    """The standard report: best matches, all jobs, duplicates, counts and histories, in the order of its sheets."""
+    rows = job_rows(jobs)
+    order = ("duplicates", "companies", "skill_gap", "collectors", "pipeline", "history")
+    titles = ("Duplicate Jobs", "Company Statistics", "Skill Gap Analysis", "Collector Statistics", "Pipeline Performance", "Historical Trends")
+    shown = {t: parts[k] for k, t in zip(order, titles, strict=True) if k in parts}
+    return Report(meta, {"Top Matches": rows.orderBy(F.desc("match_score"), "seq").limit(best), "All Jobs": rows, **shown})
+
+
 def prometheus(counters: dict[str, float], summaries: dict[str, tuple[int, float]] | None = None) -> str:
     """Metrics in the text format: counters, and (count, sum) summaries."""
     lines = [x for k, v in sorted(counters.items()) for x in (f"# TYPE {k} counter", f"{k} {v:g}")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talentlake.functions.parse import backoff_seconds
+from talentlake.plans.normalize import SCHEMA_VERSION
 
 
 def poll_interval(jobs_per_run: Column, error_rate: Column, runs: Column, rate_limit_rps: Column | None = None, base: float = 3600.0, least: float = 300.0, most: float = 86400.0) -> Column:
@@ -80,11 +82,21 @@ TRANSITIONS = {
 
 
 def transitions(events: DataFrame, initial: str = "idle") -> DataFrame:
-    """Each event (collector, at, state) with the state before it and whether the step is legal."""
-    before = F.coalesce(F.lag("state").over(W.partitionBy("collector").orderBy("at", "event_id")), F.lit(initial))
+    """Each event (event_id, collector, at, state) with the state before it and whether the step is legal.
+
+    Events are put in order within a day of a collector; what a day begins with is the last state of the collector's day before it, from a
+    table of one row a day.  So few busy collectors don't make few long tasks.
+    """
+    dated = events.withColumn("__day", F.to_date("at"))
+    earlier = F.lag(F.struct("state")).over(W.partitionBy("collector", "__day").orderBy("at", "event_id"))
+    ends = dated.groupBy("collector", "__day").agg(F.max_by(F.struct("state"), F.struct("at", "event_id")).alias("__last"))
+    ends = ends.withColumn("__begin", F.lag("__last").over(W.partitionBy("collector").orderBy("__day"))).select(F.col("collector").alias("__of"), F.col("__day").alias("__on"), "__begin")
+    same = dated["collector"].eqNullSafe(ends["__of"]) & dated["__day"].eqNullSafe(ends["__on"])
+    dated = dated.withColumn("__earlier", earlier).join(ends, same, "left")
+    before = F.coalesce(F.coalesce("__earlier", "__begin")["state"], F.lit(initial))
     legal = F.create_map(*[x for s, to in TRANSITIONS.items() for x in (F.lit(s), F.array(*map(F.lit, to)))])
     ok = (F.col("state") == before) | F.array_contains(legal[before], F.col("state"))
-    return events.withColumns({"before": before, "legal": F.coalesce(ok, F.lit(False))})
+    return dated.withColumns({"before": before, "legal": F.coalesce(ok, F.lit(False))}).drop("__day", "__earlier", "__begin", "__of", "__on")
 
 
 def retained(rows: DataFrame, at: str, now: Column, days: int) -> DataFrame:
@@ -107,3 +119,25 @@ def capable(offered: Column, wanted: Column) -> Column:
 def version_at_least(version: Column, least: Column) -> Column:
     numbers = lambda v: F.transform(F.split(v, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
     return numbers(version) >= numbers(least)
+
+
+def run_ids(run_id: str | None = None, correlation_id: str | None = None) -> dict[str, str]:
+    """The ids of one run: those given, or new ones."""
+    return {"run_id": run_id or f"run_{uuid.uuid4().hex}", "correlation_id": correlation_id or f"cor_{uuid.uuid4().hex}"}
+
+
+def with_run(rows: DataFrame, ids: dict[str, str]) -> DataFrame:
+    """``rows`` with the ids of their run as columns."""
+    return rows.withColumns({k: F.lit(v) for k, v in ids.items()})
+
+
+#: Versions of the report layout and of this library.
+REPORT_VERSION, PIPELINE_VERSION = 1, "2.0"
+
+
+def versions(jobs: DataFrame) -> DataFrame:
+    """One row: the versions of report, schema and pipeline, and those of the collectors that produced ``jobs``, by source (the latest of each)."""
+    by_source = jobs.where("collector_version IS NOT NULL").groupBy("source").agg(F.max("collector_version").alias("v"))
+    # one entry a source
+    found = by_source.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "v")))).alias("collector_versions"), F.lit(0).alias("n"))
+    return found.select(F.lit(REPORT_VERSION).alias("report_version"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(PIPELINE_VERSION).alias("pipeline_version"), "collector_versions")

@@ -48,20 +48,24 @@ def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, limit=10, where=F.col("label").isin(1, 3))
 
 
-_TEXT = "the of and with erth"
-_HYBRID = f"""WITH v AS (SELECT vec_id AS id, score FROM ({_SCORED}) WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY score DESC, vec_id LIMIT 20),
-w AS (SELECT doc_id AS id, CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['erth'])) AS DOUBLE) AS score FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
-t AS (SELECT * FROM w WHERE score > 0 ORDER BY score DESC, id LIMIT 20),
-vs AS (SELECT id, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1.0 END AS s FROM v),
-ts AS (SELECT id, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1.0 END AS s FROM t)
+_TEXT = "the erth of that reble with heing"
+_TOKENS = ("erth", "that", "reble", "heing")  # what is left of it without stopwords
+
+
+def _hybrid(tokens: tuple[str, ...]) -> str:
+    leg = "CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1.0 END AS s"
+    return f"""WITH v AS (SELECT vec_id AS id, score FROM ({_SCORED}) ORDER BY score DESC, vec_id LIMIT 20),
+w AS (SELECT doc_id AS id, CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), [{", ".join(map(q, tokens))}])) AS DOUBLE) AS score FROM documents),
+t AS (SELECT * FROM w WHERE score > 0 ORDER BY score DESC, id LIMIT 20), vs AS (SELECT id, {leg} FROM v), ts AS (SELECT id, {leg} FROM t)
 SELECT coalesce(vs.id, ts.id) AS id, round(0.6 * coalesce(vs.s, 0) + 0.4 * coalesce(ts.s, 0), 6) AS score FROM vs FULL JOIN ts ON vs.id = ts.id ORDER BY score DESC, id LIMIT 10"""
 
 
-@query(_HYBRID)
+@query(_hybrid(_TOKENS))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    # stopwords of the query text fall away, which leaves one token
-    hits = search.hybrid_search(rows, QUERY, "the of and with erth", "id", ["text"], 10)
+    """Each leg reads its own table whole; only the best rows of both are joined."""
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = search.hybrid_search(vectors, QUERY, _TEXT, "id", ["text"], 10, texts=texts)
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
@@ -181,8 +185,12 @@ def routing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_C + f"SELECT {_ROUTE} AS collector, count(*) AS targets, min(slug) AS first_slug FROM companies WHERE {_ROUTE} IS NOT NULL GROUP BY 1")
 def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = companies.work_list(_decisions(spark, sf_dir))
-    return listed.select("collector", F.size("targets").cast("long").alias("targets"), F.array_min(F.transform("targets", lambda t: t["slug"])).alias("first_slug"))
+    return companies.work_list(_decisions(spark, sf_dir)).groupBy("collector").agg(F.count("*").alias("targets"), F.min("slug").alias("first_slug"))
+
+
+@query(_C + f"SELECT {_ROUTE} AS collector, slug, name, slug AS board_token, career_url FROM companies WHERE {_ROUTE} IS NOT NULL")
+def work_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return companies.work_list(_decisions(spark, sf_dir))
 
 
 @query(_C + "SELECT company_category, CASE company_category WHEN 'automotive' THEN 'Automotive' WHEN 'saas' THEN 'Indian SaaS / Product' WHEN 'gcc' THEN 'GCC / Global Product (India)' WHEN 'startup' THEN 'Indian Startup' ELSE 'Other (sector)' END AS bucket, CASE company_category WHEN 'saas' THEN 1 WHEN 'startup' THEN 2 WHEN 'gcc' THEN 3 ELSE 5 END AS tier, CASE company_category WHEN 'saas' THEN 1.0 WHEN 'startup' THEN 0.8 WHEN 'gcc' THEN 0.6 ELSE 0.2 END::DOUBLE AS score, count(*) AS n FROM companies GROUP BY 1, 2, 3, 4")
@@ -369,7 +377,17 @@ def stream_hiring_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts from a stream over the events files."""
     one = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(one.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
-    return trends.run_available(trends.daily_counts(stream.withColumn("ts", F.col("ts").cast("timestamp"))), "trend")
+    return trends.run_available(trends.daily_counts(stream.withColumn("ts", F.col("ts").cast("timestamp"))), "trend", ["day"])
+
+
+@query("SELECT user_id, event_type, min(ts) AS first_at, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, ts FROM events) GROUP BY 1, 2")
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each (user, type, moment) once from a stream over the events files, however often it comes."""
+    one = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(one.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
+    keyed = stream.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("posted_date"), F.concat_ws("|", "user_id", "event_type", "ts").alias("job_hash"))
+    rows = trends.run_available(trends.first_seen(keyed), "first", ["job_hash"])
+    return rows.groupBy("user_id", "event_type").agg(F.min("posted_date").alias("first_at"), F.count("*").alias("n"))
 
 
 @query("SELECT s_suppkey AS seq, s_name AS name, concat('https://x.example/', CAST(s_suppkey AS VARCHAR)) AS career_url FROM supplier")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
+import json
+from pathlib import Path, PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,14 +43,43 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     """As read_json, for YAML; a small file, parsed on the driver."""
-    import json
-
     import yaml
 
     with open(path, encoding="utf-8") as f:
         return _from_tree(spark, spark.createDataFrame([(json.dumps(yaml.safe_load(f), default=str),)], "value string"))
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """As read_yaml, for company metadata: a list of objects or an object with such a list; none for all else and for a missing file."""
+    import yaml
+
+    data = None
+    if Path(path).exists():
+        data = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    data = data.get("companies") if isinstance(data, dict) else data
+    listed = [x for x in data if isinstance(x, dict)] if isinstance(data, list) else []
+    return _from_tree(spark, spark.createDataFrame([(json.dumps(listed, default=str),)], "value string"))
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, checksum): the SHA-256 of each file that isn't empty, computed where it is read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("checksum"))
+
+
+def collected(results: dict[str, DataFrame]) -> DataFrame:
+    """The raw postings of all collectors in one table, with the collector's name; columns that one lacks are null."""
+    first, *rest = [rows.withColumn("collector", F.lit(name)) for name, rows in results.items()]
+    for more in rest:
+        first = first.unionByName(more, allowMissingColumns=True)
+    return first
+
+
+def archive(rows: DataFrame, path: str, now: Column) -> None:
+    """Appends raw postings (collector, raw) to the archive, by collector and day, with the digest of each."""
+    stamped = rows.withColumns({"archived_at": now, "day": F.to_date(now), "digest": F.sha2("raw", 256)})
+    stamped.write.mode("append").partitionBy("collector", "day").parquet(path)
+
+
 def columns_of(fields: DataFrame, names: list[str]) -> DataFrame:
     """row_no and a text column for each name, from (row_no, fields)."""
     return fields.select(F.col("row_no").cast("long"), *[F.col("fields")[n].alias(n) for n in names])

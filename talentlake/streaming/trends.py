@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talentlake.operators.shared import shared_dir
 
@@ -19,13 +22,20 @@ def daily_counts(events: DataFrame, at: str = "ts", late: str = "1 day") -> Data
     return windowed.select(F.to_date("w.start").alias("day"), "n")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drains what a stream has now into Parquet in the shared folder, and reads it."""
+def run_available(stream: DataFrame, name: str, keys: list[str], folder: str | None = None) -> DataFrame:
+    """Drains what a stream has now, in update mode, and gives the latest row of each key.
+
+    A batch writes only the rows that it changed, into a folder of its own number, so that a batch that is run again replaces itself and
+    the watermark can free the state of old keys.
+    """
     spark: SparkSession = stream.sparkSession
-    import uuid
+    folder = folder or f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    write = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    write.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")).start().awaitTermination()
+    return latest(spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows"), keys)
+
 
-    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    # each batch rewrites the whole table in complete mode
-    write = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    write.foreachBatch(lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/rows")
+def latest(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The last change (by batch) of each key."""
+    rest = [c for c in changes.columns if c not in (*keys, "batch")]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])

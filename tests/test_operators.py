@@ -146,10 +146,15 @@ def test_registry_and_exports(spark, tmp_path):
     assert tuple(rows.columns[1:]) == exports.COLUMNS and rows.first()["skills"] == "Python; SQL" and rows.first()["location"] == "Remote"
     exports.write_csv(rows, str(tmp_path / "csv"), "gzip")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
-    data = exports.report(rows, {"top_skills": analytics.top_counts(jobs, F.col("skills"), 5, explode=True)}, {"version": 1})
+    many = spark.range(300).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("key"))
+    data = exports.report(rows, {"top_skills": analytics.top_counts(jobs, F.col("skills"), 5, explode=True), "many": many}, {"version": 1})
     for fmt in ("json", "html"):
         exports.export(fmt, data, str(tmp_path / f"r.{fmt}"))
-    assert "Python" in (tmp_path / "r.html").read_text()
+    page = (tmp_path / "r.html").read_text()
+    assert "Python" in page and all(f"<td>m{k}</td>" in page for k in range(300))
+    told = json.loads((tmp_path / "r.json").read_text())
+    assert len(told["many"]) == 300 and told["jobs"][0]["skills"] == "Python; SQL" and told["meta"] == {"version": 1}
+    assert list(exports.workbook(jobs, {"companies": many}, {}).tables) == ["Top Matches", "All Jobs", "Company Statistics"]
     with pytest.raises(ValueError):
         exports.export("x", data, "y")
     assert "a 1" in exports.prometheus({"a": 1})
