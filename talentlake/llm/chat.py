@@ -16,7 +16,7 @@ assistant texts.
 Defined results: null text is empty, null role is the empty role, null seq sorts
 first, a null conversation id is a conversation of its own; a delta, edit or
 regeneration that names no known message opens that message (delta, edit) or does
-nothing (regenerate); an unknown or null kind counts as ``message``; repeated rows
+nothing (regenerate); a message number that is opened twice names the last one that is left; an unknown or null kind counts as ``message``; repeated rows
 are repeated events; ties in seq go by message, kind, role and text, so that the result is
 the same on every run; extra columns are ignored; no events, no rows.
 """
@@ -62,17 +62,18 @@ class Conversation:
 
     def __init__(self) -> None:
         self.messages: list[list] = []  # [msg, role, pieces of text]
-        self.at: dict = {}
+        self.at: dict = {}  # msg -> its places; the last counts
         self.dropped: dict = {}
 
     def fold(self, kind: str | None, msg, role: str | None, text: str | None) -> None:
         if kind not in KINDS or kind == "message":
             return self._open(msg, role or "", text)
-        where = len(self.messages) - 1 if msg is None else self.at.get(msg, -1)
+        where = len(self.messages) - 1 if msg is None else (self.at.get(msg) or [-1])[-1]
         if kind == "regenerate":
             if where >= 0:
                 for m, r, _ in self.messages[where:]:
-                    self.at.pop(m, None)
+                    if m is not None:
+                        self.at[m].pop()
                     self.dropped[m] = r
                 again = self.messages[where][0] if msg is None else msg
                 kept = role or self.messages[where][1]
@@ -87,7 +88,7 @@ class Conversation:
 
     def _open(self, msg, role: str, text: str | None) -> None:
         if msg is not None:
-            self.at[msg] = len(self.messages)
+            self.at.setdefault(msg, []).append(len(self.messages))
         self.messages.append([msg, role, [text or ""]])
 
     def final(self) -> list[tuple[str, str]]:
