@@ -14,6 +14,7 @@ from talentlake.llm.langid import op6_language_id
 from talentlake.llm.lattice_lm import op8_lm_scoring
 from talentlake.llm.line_dedup import op3_line_dedup
 from talentlake.llm.near_dup import op1_near_dup
+from talentlake.llm.oracle import ORACLE_SQL
 from talentlake.llm.quality_rules import op2_quality_rules
 from talentlake.llm.token_counts import op7_token_counts
 
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
