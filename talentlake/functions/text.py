@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,16 @@ def content_tokens(*xs: Column) -> Column:
     return F.array_distinct(F.filter(words(F.concat_ws(" ", *xs)), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
 
 
+def query_tokens(text: str) -> list[str]:
+    """The content tokens of a text that is known on the driver."""
+    return list(dict.fromkeys(w for w in re.findall("[a-z0-9]+", (text or "").lower()) if len(w) > 1 and w not in STOPWORDS))
+
+
+def holds_token(low: Column, token: str) -> Column:
+    """Whether a lower-case text has a token; the plain search, which is cheap, comes before the pattern."""
+    return F.contains(low, F.lit(token)) & low.rlike(f"(?<![a-z0-9]){token}(?![a-z0-9])")
+
+
 def fingerprint(*xs: Column) -> Column:
     """SHA-256 of the sorted content tokens; the empty text if there are none."""
     tokens = content_tokens(*xs)
@@ -98,9 +110,7 @@ def listed(x: Column) -> Column:
 
 def whole_word(terms: tuple[str, ...]) -> str:
     """A pattern that finds any of the terms where no a-z letter adjoins."""
-    from re import sub
-
-    escaped = [sub(r"([.^$*+?{}\[\]\\|()\-/])", r"\\\1", t) for t in sorted(terms, key=lambda t: (-len(t), t))]
+    escaped = [re.sub(r"([.^$*+?{}\[\]\\|()\-/])", r"\\\1", t) for t in sorted(terms, key=lambda t: (-len(t), t))]
     return "(?<![a-z])(?:" + "|".join(escaped) + ")(?![a-z])"
 
 

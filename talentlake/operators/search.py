@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talentlake.functions.text import content_tokens
+from talentlake.functions.text import holds_token, query_tokens
 from talentlake.functions.vectors import cosine_to, hash_embedding
 
 
@@ -29,18 +30,20 @@ def vector_search(rows: DataFrame, query: Sequence[float], key: str, limit: int
 
 def text_search(rows: DataFrame, text: str, key: str, columns: Sequence[str], limit: int = 10, where: Column | None = None) -> DataFrame:
     """(key, score) by the number of distinct query tokens that a row holds; rows without any are left out."""
-    wanted = content_tokens(F.lit(text))
+    wanted = query_tokens(text)
     if where is not None:
         rows = rows.where(where)
-    hits = F.size(F.array_intersect(content_tokens(*[F.col(c) for c in columns]), wanted)).cast("double")
-    return rows.select(key, hits.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
+    low = rows.select(key, F.lower(F.concat_ws(" ", *columns)).alias("low"))
+    hits = sum((holds_token(F.col("low"), w).cast("double") for w in wanted), F.lit(0.0))
+    # what has no token goes after the limit, as a filter below it would count the tokens twice
+    return low.select(key, hits.alias("score")).orderBy(F.desc("score"), key).limit(limit).where("score > 0")
 
 
 def scaled(hits: DataFrame) -> DataFrame:
-    """Scores brought to 0..1 by their least and largest; all 1 where they are equal."""
-    ends = hits.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))  # one row
-    span = F.col("hi") - F.col("lo")
-    return hits.join(F.broadcast(ends)).withColumn("score", F.when(span > 0, (F.col("score") - F.col("lo")) / span).otherwise(1.0)).drop("lo", "hi")
+    """The scores of a search's best rows brought to 0..1 by their least and largest; all 1 where they are equal."""
+    best = W.partitionBy()  # as many rows as the search's limit
+    low, span = F.min("score").over(best), F.max("score").over(best) - F.min("score").over(best)
+    return hits.withColumn("score", F.when(span > 0, (F.col("score") - low) / span).otherwise(1.0))
 
 
 def blended(near: DataFrame, hits: DataFrame, key: str, limit: int, alpha: float = 0.6) -> DataFrame:
