@@ -34,19 +34,24 @@ def letters(text: str | None) -> bytes:
     return f" {kept} ".encode("utf-8", "surrogatepass") if _LETTER.search(kept) else b""
 
 
-def excerpts(train: DataFrame, each: int = 400, chars: int = 1000, languages: int = 200) -> dict[str, bytes]:
+def excerpts(train: DataFrame, each: int = 400, chars: int = 400_000, total: int = 40_000_000) -> dict[str, bytes]:
     """Dictionary contents by language.
 
-    The sample is bounded: the ``each`` texts of a language with the smallest hashes, from each ``chars`` characters around
-    the middle; no more than ``languages`` languages are learnt, else an error is raised.
+    The sample is bounded: whole texts of a language in order of their hashes, ``each`` at most and ``chars`` characters at most, or
+    an equal share of ``total`` characters where there are many languages.  A text that is longer than all that
+    is only used where no other is there, cut to that size.  So what the driver gathers is bounded by ``total`` characters.
     """
-    hashed = train.where("lang IS NOT NULL AND text IS NOT NULL").select(
-        "lang", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), F.expr(f"substring(text, greatest(1, cast((char_length(text) - {chars}) / 2 AS int)), {chars})").alias("piece")
-    )
-    ranked = hashed.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "piece"))).where(F.col("k") <= each)
-    found = ranked.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("p")).limit(languages + 1).collect()
-    if len(found) > languages:
-        raise ValueError(f"more than {languages} languages; raise the bound if the dictionaries still fit a task")
+    known = train.where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    room = min(chars, total // max(1, counts.count()))
+    # of a common language a few times as many texts as are needed go on, by their hashes
+    share = F.xxhash64(F.col("doc_id").cast("string"), F.lit("share"), "text").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
+    drawn = known.select("lang", "text", "doc_id").join(counts, "lang").where(share < 8.0 * each / F.col("n"))
+    size = F.char_length("text")
+    order = W.partitionBy("lang").orderBy((size > room).cast("int"), F.xxhash64(F.col("doc_id").cast("string"), "text"), "text")
+    ranked = drawn.select("lang", F.row_number().over(order).alias("k"), F.col("text").substr(1, room).alias("piece")).where(F.col("k") <= each)
+    filled = ranked.withColumn("upto", F.sum(F.char_length("piece").cast("long")).over(W.partitionBy("lang").orderBy("k"))).where((F.col("upto") <= room) | (F.col("k") == 1))
+    found = filled.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("p")).collect()
     made = {r["lang"]: b" ".join(letters(x["piece"]) for x in reversed(r["p"])) for r in found}
     return {k: v for k, v in sorted(made.items()) if len(v) >= 8}
 
