@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentlake.llm.common import add_columns, cut, table
+from talentlake.llm.common import add_columns, cut, table, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: Modulus and base of the hash of runs.
@@ -169,7 +169,8 @@ def removed_lines(docs: DataFrame, min_line: int = 5, min_block: int = 20) -> Da
     arrays = cut(add_columns(named, ["text"], "lines array<long>, words array<int>, keys array<long>", keyed).drop("text"))
     rare = arrays.select("doc_id", F.explode("keys").alias("line"))
     arrays = arrays.drop("keys")
-    first = rare.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line", "first")
+    # written, so that a line that very many documents hold can be split when they are joined with it
+    first = written(rare.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line", "first"))
     pairs = rare.join(first, "line").where("doc_id > first").select("doc_id", "first").distinct()
     early = arrays.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines"))
     both = pairs.join(early, "first").join(arrays, "doc_id")
