@@ -107,23 +107,27 @@ def salary(text: Column) -> Column:
 _NOISE = r"(?i)\b(?:sr|senior|jr|junior|lead|staff|principal|intern|i{1,3}|iv|v)\b"
 
 
-def role(title: Column, roles: Taxonomy = ROLES) -> Column:
-    """The canonical role, or else the cleaned title in title case; null for a blank title."""
+def role(title: Column, roles: Taxonomy = ROLES, low: Column | None = None) -> Column:
+    """The canonical role, or else the cleaned title in title case; null for a blank title.  ``low`` is the trimmed title in lower case, if it is at hand."""
     text = F.trim(title)
     cleaned = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\(.*?\)", " "), _NOISE, " "), r"[^A-Za-z0-9/ +.\-]", " ")
     cleaned = F.trim(F.regexp_replace(cleaned, r"\s+", " "))
-    return F.when(F.length(text) > 0, F.coalesce(first_found(text, roles), F.when(cleaned != "", title_case(cleaned)), text))
+    return F.when(F.length(text) > 0, F.coalesce(first_found(F.lower(text) if low is None else low, roles, lowered=True), F.when(cleaned != "", title_case(cleaned)), text))
 
 
 def place(raw: Column, cities: Taxonomy = CITIES, modes: Taxonomy = WORK_MODES, countries: Taxonomy = COUNTRIES) -> Column:
     """struct(raw, city, region, country, work_mode, is_remote) of a location text."""
     text = F.nullif(F.trim(raw), F.lit(""))
-    city, mode = first_found(text, cities), first_found(text, modes)
+    return place_of(text, first_found(text, cities), first_found(text, modes), first_found(text, countries))
+
+
+def place_of(text: Column, city: Column, mode: Column, country: Column) -> Column:
+    """The struct of ``place`` from what was found in its text."""
     return F.struct(
         text.alias("raw"),
         F.when(city != "Remote", city).alias("city"),
         F.lit(None).cast("string").alias("region"),
-        first_found(text, countries).alias("country"),
+        country.alias("country"),
         F.coalesce(mode, F.lit("unknown")).alias("work_mode"),
         (mode.eqNullSafe("remote") | city.eqNullSafe("Remote")).alias("is_remote"),
     )

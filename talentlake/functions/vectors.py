@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -55,31 +56,30 @@ def clamp(x: Column) -> Column:
 _TOKEN = re.compile(r"[a-z0-9+#.]+")
 
 
-class Hasher:
-    """Signed feature hashing of tokens into a unit vector; remembers the tokens' places within a bound."""
+class Hasher(dict):
+    """Signed feature hashing of tokens into a unit vector.
+
+    Remembers each token's place, doubled and with its sign in the last bit, and forgets all beyond ``bound`` tokens.
+    """
 
     def __init__(self, dimensions: int = 384, bound: int = 500_000):
+        super().__init__()
         self.dimensions, self.bound = dimensions, bound
-        self.known: dict[str, tuple[int, float]] = {}
-
-    def place(self, token: str) -> tuple[int, float]:
-        found = self.known.get(token)
-        if found is None:
-            digest = hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            found = int.from_bytes(digest[:4], "big") % self.dimensions, 1.0 if digest[4] & 1 else -1.0
-            if len(self.known) >= self.bound:
-                self.known.clear()
-            self.known[token] = found
-        return found
+
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        if len(self) >= self.bound:
+            self.clear()
+        self[token] = code = int.from_bytes(digest[:4], "big") % self.dimensions * 2 + (digest[4] & 1)
+        return code
 
     def encode(self, texts: list[str | None]) -> np.ndarray:
         """One row per text; a text without tokens is the zero vector."""
-        rows, at, sign = [], [], []
-        for i, text in enumerate(texts):
-            for token in _TOKEN.findall((text or "").lower()):
-                k, s = self.place(token)
-                rows.append(i), at.append(k), sign.append(s)
-        flat = np.bincount(np.array(rows, np.int64) * self.dimensions + np.array(at, np.int64), np.array(sign), len(texts) * self.dimensions)
+        tokens = [_TOKEN.findall((text or "").lower()) for text in texts]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(tokens)), np.int64, int(sizes.sum()))
+        at = np.repeat(np.arange(len(texts)) * self.dimensions, sizes) + (codes >> 1)
+        flat = np.bincount(at, (codes & 1) * 2.0 - 1.0, len(texts) * self.dimensions)
         out = flat.reshape(len(texts), self.dimensions).astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)

@@ -84,8 +84,9 @@ _SKILLS = f"{ORACLE_JOBS.rstrip()}, skilled AS (SELECT seq, {o.skills(_TEXT, o.A
 
 @query(_SKILLS + "SELECT seq, array_to_string(listed, ';') AS skills FROM skilled")
 def skills_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found, _ = terms.extract_skills(F.concat_ws(" ", "title", "description"))
-    return jobs_v(spark, sf_dir).select("seq", F.array_join(found, ";").alias("skills"))
+    rows = jobs_v(spark, sf_dir).select("seq", F.lower(F.concat_ws(" ", "title", "description")).alias("low"))
+    _, found, _ = terms.extract_skills(terms.skills_by_category(F.col("low"), lowered=True))
+    return rows.select("seq", F.array_join(found, ";").alias("skills"))
 
 
 @query(_SKILLS + "SELECT k AS key, count(*) AS n FROM (SELECT seq, unnest(listed) AS k FROM skilled) GROUP BY 1 ORDER BY 2 DESC, min(seq), 1 LIMIT 10")

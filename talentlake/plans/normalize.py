@@ -70,11 +70,18 @@ def normalize(
     dated = parse.posted(payload_text(payload, "posted", "posted_date", "date", "published_at", "created_at", "updated_at"), now)
     kind = F.concat_ws(" ", F.coalesce(payload_text(payload, "employment_type", "type", "commitment"), F.col("title")), description)
     text = F.concat_ws(" ", filled(F.col("title")), filled(description))
-    by_category, found, technical = terms.extract_skills(text, skills)
+    # what many patterns read is computed once, in a projection of its own; so is what several columns are made of
+    place = F.nullif(F.trim("location"), F.lit(""))
+    raw = raw.withColumns({"__low_title": F.lower(F.trim("title")), "__at": place, "__low_at": F.lower(place), "__low_text": F.lower(text)})
+    found_in = lambda taxonomy: terms.first_found(F.col("__low_at"), taxonomy, lowered=True)
+    parts = {"__city": found_in(cities), "__mode": found_in(terms.WORK_MODES), "__country": found_in(terms.COUNTRIES)}
+    parts |= {f"__by_{k}": v for k, v in terms.skills_by_category(F.col("__low_text"), skills, lowered=True).items()}
+    raw = raw.withColumns(parts)
+    by_category, found, technical = terms.extract_skills({k: F.col(f"`__by_{k}`") for k in skills})
     jobs = raw.select(
-        "*",
-        parse.role(F.col("title"), roles).alias("__role"),
-        parse.place(F.col("location"), cities).alias("__place"),
+        *[F.col(f"`{c}`") for c in raw.columns if c not in parts],
+        parse.role(F.col("title"), roles, F.col("__low_title")).alias("__role"),
+        parse.place_of(F.col("__at"), F.col("__city"), F.col("__mode"), F.col("__country")).alias("__place"),
         parse.salary(F.coalesce(payload_text(payload, "salary", "compensation", "pay"), description)).alias("salary"),
         parse.experience(F.coalesce(payload_text(payload, "experience", "experience_level"), description)).alias("experience"),
         parse.employment_type(kind).alias("employment_type"),

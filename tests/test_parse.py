@@ -77,7 +77,7 @@ def test_keys(spark):
 
 
 def test_skills(spark):
-    _, skills, technical = terms.extract_skills(F.col("x"))
+    _, skills, technical = terms.extract_skills(terms.skills_by_category(F.col("x")))
     said = "Python, FastAPI on AWS with Docker and PyTorch; category B.Tech communication"
     assert set(value(spark, skills, x=said)) == {"Python", "FastAPI", "AWS", "Docker", "PyTorch", "Communication"}
     assert set(value(spark, technical, x=said)) == {"Python", "FastAPI", "AWS", "Docker", "PyTorch"}
