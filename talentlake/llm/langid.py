@@ -43,10 +43,12 @@ def excerpts(train: DataFrame, each: int = 400, chars: int = 400_000, total: int
     """
     known = train.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    room = min(chars, total // max(1, counts.count()))
-    # of a common language a few times as many texts as are needed go on, by their hashes
+    languages, rows = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    room = min(chars, total // max(1, languages))
+    # of a common language a few times as many texts as are needed go on, by their hashes; 10,000 languages at most are common
+    common = counts.where((F.col("n") > 8 * each) & (F.col("n") * 10_000 >= rows))
     share = F.xxhash64(F.col("doc_id").cast("string"), F.lit("share"), "text").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
-    drawn = known.select("lang", "text", "doc_id").join(counts, "lang").where(share < 8.0 * each / F.col("n"))
+    drawn = known.select("lang", "text", "doc_id").join(F.broadcast(common), "lang", "left").where(F.col("n").isNull() | (share < 8.0 * each / F.col("n")))
     size = F.char_length("text")
     order = W.partitionBy("lang").orderBy((size > room).cast("int"), F.xxhash64(F.col("doc_id").cast("string"), "text"), "text")
     ranked = drawn.select("lang", F.row_number().over(order).alias("k"), F.col("text").substr(1, room).alias("piece")).where(F.col("k") <= each)
