@@ -32,9 +32,9 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir, limit=10)
 
 
-@query(f"SELECT vec_id, round(score, 6) AS score FROM ({_SCORED}) WHERE score >= 0.2 ORDER BY score DESC, vec_id LIMIT 1000")
+@query(f"SELECT vec_id, round(score, 6) AS score FROM ({_SCORED}) WHERE score >= 0.2")
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows over the threshold; the SQL is cut at 1,000 rows, so it tells the same up to there."""
+    """All rows over the threshold."""
     return _near(spark, sf_dir, limit=None, threshold=0.2)
 
 
@@ -76,10 +76,10 @@ def vector_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hydrate(hits, rows, "vec_id").select("vec_id", "label", "lang")
 
 
-@query(f"WITH a AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 20), b AS (SELECT vec_id AS other, embedding AS e FROM embeddings WHERE vec_id < 20) SELECT vec_id, other, round(greatest(0, {_DOT('embedding', 'e')} / sqrt({_DOT('embedding', 'embedding')} * {_DOT('e', 'e')})), 6) AS score FROM a JOIN b ON vec_id + 1 = other")
+@query(f"WITH a AS (SELECT vec_id, embedding FROM embeddings), b AS (SELECT vec_id AS other, embedding AS e FROM embeddings) SELECT vec_id, other, round(greatest(0, {_DOT('embedding', 'e')} / sqrt({_DOT('embedding', 'embedding')} * {_DOT('e', 'e')})), 6) AS score FROM a JOIN b ON vec_id + 1 = other")
 def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine of consecutive vectors among the first twenty."""
-    a = table(spark, sf_dir, "embeddings").where("vec_id < 20").select("vec_id", "embedding")
+    """Cosine of consecutive vectors, computed in the JVM."""
+    a = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     b = a.select(F.col("vec_id").alias("other"), F.col("embedding").alias("e"))
     return a.join(b, F.col("vec_id") + 1 == F.col("other")).select("vec_id", "other", F.round(cosine(F.col("embedding"), F.col("e")), 6).alias("score"))
 
