@@ -9,7 +9,7 @@ from talentlake.functions import parse, terms
 from talentlake.functions.text import content_tokens, fingerprint, url_key
 from talentlake.functions.vectors import hash_embedding
 from talentlake.operators import analytics, store
-from talentlake.operators.rank import Resume, best_matches, rank
+from talentlake.operators.rank import Resume, best_matches, rank, scores
 from talentlake.operators.shared import cut
 from talentlake.plans import dedup, filters
 from talentlake.plans import oracle as o
@@ -274,7 +274,7 @@ def top_matches_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RANKED.rstrip() + f", s AS (SELECT CAST({_SCORE} AS DOUBLE) AS score FROM parts) SELECT 'ai' AS resume_id, count(*) AS jobs, count(*) FILTER (score >= 89.995) AS b90, count(*) FILTER (score >= 74.995 AND score < 89.995) AS b75, count(*) FILTER (score >= 49.995 AND score < 74.995) AS b50, count(*) FILTER (score < 49.995) AS b0 FROM s")
 def match_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trend = analytics.match_trend(rank(jobs(spark, sf_dir), RESUME, F.lit("2020-01-01 00:00:00").cast("timestamp")))
+    trend = analytics.match_trend(scores(jobs(spark, sf_dir), RESUME, F.lit("2020-01-01 00:00:00").cast("timestamp")))
     at = lambda b: F.coalesce(F.col("histogram")[b], F.lit(0)).cast("long")
     return trend.select("resume_id", "jobs", at("90-100").alias("b90"), at("75-89").alias("b75"), at("50-74").alias("b50"), at("0-49").alias("b0"))
 
