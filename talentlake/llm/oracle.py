@@ -98,4 +98,62 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""
 
-ORACLE_SQL = {"op1_near_dup": NEAR_DUP, "op2_quality_rules": QUALITY, "op3_line_dedup": LINE_DEDUP, "op9_decontamination": DECONTAMINATION, "op10_chat_formatting": CHAT}
+#: The table of crc32 by its rule, and the crc32 of a string's UTF-8 bytes.
+_CRC_TABLE = "tt AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) r(i)))"
+_CRC = "xor(list_reduce(list_transform(range(1, 2 * strlen({0}), 2), lambda k: ('0x' || substr(hex(encode({0})), k, 2))::BIGINT), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295::BIGINT), 4294967295)"
+
+#: Every edit of the slot map is one step of the recursion; its last step gives the map.
+SHARDING = f"""WITH RECURSIVE {_CRC_TABLE},
+rec AS (SELECT doc_id, (strlen(coalesce(text, '')) + 16)::BIGINT AS size, {_CRC.format("coalesce(text, '')")} AS text_crc32 FROM documents, tt),
+grouped AS (SELECT doc_id, size, text_crc32, count(*) AS n FROM rec GROUP BY doc_id, size, text_crc32),
+dealt AS (SELECT *, unnest(range(0, (n - 1) // 64 + 1)) AS run FROM grouped),
+v AS (SELECT *, least(64, n - run * 64) AS m, ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), size, text_crc32, run)), 1, 8))::BIGINT % 8192 AS slot FROM dealt),
+b AS (SELECT r.slot, coalesce(sum(m * size), 0)::BIGINT AS size FROM range(8192) r(slot) LEFT JOIN v ON v.slot = r.slot GROUP BY r.slot),
+steps AS (SELECT 0 AS it, slot, slot % 40 AS shard, size FROM b UNION ALL
+  SELECT it + 1, slot, CASE WHEN slot = best.d THEN low ELSE shard END, size FROM (
+    SELECT *, min(CASE WHEN load = least THEN shard END) OVER () AS low, min(CASE WHEN size > 0 AND size < load - least AND load - least > 0.001::DOUBLE * total / 40
+      THEN {{'a': -load, 'b': shard, 'c': abs(2 * size - (load - least)), 'd': slot}} END) OVER () AS best
+    FROM (SELECT *, min(load) OVER () AS least FROM (SELECT *, (sum(size) OVER (PARTITION BY shard))::BIGINT AS load, (sum(size) OVER ())::BIGINT AS total FROM steps) l)) WHERE best IS NOT NULL),
+map AS (SELECT slot, shard FROM steps WHERE it = (SELECT max(it) FROM steps)),
+numbered AS (SELECT v.*, shard, sum(m) OVER (PARTITION BY shard ORDER BY v.slot, doc_id NULLS FIRST, size, text_crc32, run ROWS UNBOUNDED PRECEDING) - m AS first FROM v JOIN map ON v.slot = map.slot)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard, unnest(range(first::BIGINT, (first + m)::BIGINT)) AS slot, NULL::INTEGER AS grown_shard, slot::INTEGER AS virtual_slot FROM numbered"""
+
+#: Near words share what is left when one code point is taken from each, at the same place, or from the longer one.
+SPELLING = rf"""WITH RECURSIVE {_CRC_TABLE},
+run AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all({_ASCII_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+typed AS (SELECT doc, w, count(*) AS n FROM run GROUP BY doc, w),
+hashed AS (SELECT w, n, {_CRC.format("(doc || ':' || w)")} AS h FROM typed, tt),
+kept AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM kept WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, w.word, w.n FROM less l JOIN words w ON w.word = l.d UNION SELECT w.word, l.word, l.n FROM less l JOIN words w ON w.word = l.d),
+best AS (SELECT word, count(*) AS n_near, min({{'o': -m, 'w': other}}) AS b FROM near GROUP BY word),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.o >= 2 * n THEN b.w END AS form, CASE WHEN -b.o >= 2 * n THEN (-b.o)::BIGINT END AS form_n FROM words LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root FROM formed UNION ALL SELECT up.word, f.form FROM up JOIN formed f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM formed f JOIN up USING (word) JOIN formed last ON last.word = up.root WHERE last.form IS NULL"""
+
+
+def _centroids(rounds: int = 5, k: int = 40) -> str:
+    """Each round as two tables: all distances and the nearest centroid, then the floors of the means."""
+    parts = [
+        f"""vec AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: greatest(least(floor(256 * x::DOUBLE), 134217728), -134217728)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS (SELECT (row_number() OVER (ORDER BY h, vec_id NULLS FIRST, v) - 1)::INTEGER AS c, v AS mid FROM (SELECT *, sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h FROM vec) ORDER BY c LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (SELECT rid, min(d).d AS distance, min(d).c AS cluster FROM (SELECT rid, {{'d': list_sum(list_transform(range(1, 65), lambda i: (v[i] - mid[i]) * (v[i] - mid[i])))::BIGINT, 'c': c}} AS d FROM vec, c{i}) GROUP BY rid)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT cluster, j, sum(v[j]) AS s, count(*)::HUGEINT AS n FROM (SELECT cluster, v, unnest(range(1, 65)) AS j FROM a{i} JOIN vec USING (rid)) GROUP BY cluster, j),
+c{i + 1} AS (SELECT c, coalesce(f, mid) AS mid FROM c{i} LEFT JOIN (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS f FROM s{i} GROUP BY cluster) ON cluster = c)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(mid, ',')) AS centroid_sha256
+FROM a{rounds} JOIN vec USING (rid) JOIN c{rounds} ON c = cluster"""
+
+
+CENTROIDS = _centroids()
+
+ORACLE_SQL = {
+    "op1_near_dup": NEAR_DUP, "op2_quality_rules": QUALITY, "op3_line_dedup": LINE_DEDUP, "op9_decontamination": DECONTAMINATION, "op10_chat_formatting": CHAT,
+    "op11_sharding": SHARDING, "op12_spelling": SPELLING, "op13_centroids": CENTROIDS,
+}

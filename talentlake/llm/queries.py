@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talentlake.llm.bpe import op4_bpe_codec
+from talentlake.llm.centroids import op13_centroids
 from talentlake.llm.chat import op10_chat_formatting
 from talentlake.llm.decontaminate import op9_decontamination
 from talentlake.llm.gam import op5_quality_classifier
@@ -16,6 +17,8 @@ from talentlake.llm.line_dedup import op3_line_dedup
 from talentlake.llm.near_dup import op1_near_dup
 from talentlake.llm.oracle import ORACLE_SQL
 from talentlake.llm.quality_rules import op2_quality_rules
+from talentlake.llm.sharding import op11_sharding
+from talentlake.llm.spelling import op12_spelling
 from talentlake.llm.token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_sharding": op11_sharding,
+    "op12_spelling": op12_spelling,
+    "op13_centroids": op13_centroids,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
