@@ -44,13 +44,18 @@ def odd_tables(spark, tmp_path_factory):
     said = ["hi", None, "", "<|im_end|>", "<\\|x", "a\nb", "é" * 50]
     turns = [(c, t, rng.choice(["user", "assistant", "odd%\nrole", None]), rng.choice(said)) for c in [*range(12), None] for t in range(rng.randrange(1, 7))]
     spark.createDataFrame([*turns, *turns[:3]], "conv_id long, turn int, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    # few distinct components, so that many distances tie; nulls, gaps, other lengths, huge values and repeated rows
+    grid = [[rng.choice([-0.5, 0.0, 0.25]) if j < 4 else 0.0 for j in range(64)] for _ in range(150)]
+    odd = [None, [], [0.1] * 63, [0.1] * 65, [None, *[0.1] * 63], [float("nan"), *[0.1] * 63], [float("inf"), *[0.1] * 63], [1e30, *[-1e30] * 63], [2e4 * rng.random()] * 64]
+    vectors = [(i, v, "clash", 5) for i, v in enumerate(grid + odd)] + [(None, grid[0], "clash", 5), (3, grid[9], "clash", 5), (3, grid[9], "clash", 5)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, cluster string, distance int").write.parquet(f"{sf}/embeddings.parquet")
     return sf
 
 
 @pytest.fixture(scope="module")
 def empty_tables(spark, odd_tables, tmp_path_factory):
     sf = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "benchmark", "labels", "conversations"):
+    for t in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         table(spark, odd_tables, t).limit(0).write.parquet(f"{sf}/{t}.parquet")
     return sf
 
@@ -61,7 +66,7 @@ def plain(value):
 
 def in_duckdb(sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "conversations"):
+    for t in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         path = f"{sf}/{t}.parquet"
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}{'/*.parquet' if Path(path).is_dir() else ''}')")
     found = con.sql(ORACLE_SQL[name])
