@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,65 @@ def test_replay(spark, crowd):
     assert got == replay(keyed(raw))
 
 
+def replay_mixed(rows, threshold=0.9):
+    """As ``replay``, with a vector at the end of each row: cosine where both have one, else Jaccard."""
+    kept, out = [], {}
+    for seq, h, url, fp, key, tokens, v in rows:
+        verdict = None
+        for layer, k, confidence in (("layer1_hash", 1, 1.0), ("layer5_url", 2, 0.98), ("layer2_fingerprint", 3, 0.95), ("layer4_alias", 4, 0.9)):
+            mine = (seq, h, url, fp, key)[k]
+            hit = next((r for r in kept if mine and r[k] == mine), None)
+            if hit:
+                verdict = (layer, confidence, hit[0])
+                break
+        best = None
+        for r in kept if not verdict else ():
+            if v and r[6]:
+                score = 0.0
+                if len(v) == len(r[6]) and any(v) and any(r[6]):
+                    score = 1.0 if v == r[6] else round(float(np.dot(v, r[6]) / np.sqrt(np.dot(v, v) * np.dot(r[6], r[6]))), 12)
+            else:
+                score = len(set(tokens) & set(r[5])) / len(set(tokens) | set(r[5])) if tokens and r[5] else 0.0
+            if score >= threshold and (best is None or score > best[0]):
+                best = (score, r[0])
+        if best:
+            verdict = ("layer3_semantic", round(best[0], 4), best[1])
+        out[seq] = verdict
+        if not verdict:
+            kept.append((seq, h, url, fp, key, tokens, v))
+    return out
+
+
+@pytest.mark.parametrize(("crowd", "share"), [(50_000, 0.5), (25, 0.5), (0, 0.5), (50_000, 1.0), (50_000, 0.0)])
+def test_vectors(spark, crowd, share):
+    """Rows with and without vectors, equal and similar ones, other lengths, zeros and rows without tokens, against the replay."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(26)]
+    middles = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(15)]
+    raw, vectors = [], []
+    for seq in range(170):
+        base = rng.randrange(14)
+        tokens = [w for k, w in enumerate(words) if (k + base) % 13 < 11][: rng.choice([22, 22, 21])]
+        raw.append((seq, f"h{seq if rng.random() < 0.9 else rng.randrange(seq + 1)}", rng.choice([None, f"u{rng.randrange(400)}"]), f"r{rng.randrange(300)}", " ".join(tokens) + f" x{seq // 4}" if rng.random() < 0.8 else None))
+        near = [x + rng.choice([0, 0.1, 0.3]) * rng.gauss(0, 1) for x in rng.choice(middles)]
+        vectors.append(rng.choice([near, near, near, middles[0], [0.0] * 8, [1.0, 2.0], [2.0, 4.1]]) if rng.random() < share else rng.choice([None, []]))
+    rows = postings(spark, raw).join(spark.createDataFrame(list(enumerate(vectors)), "seq long, embedding array<double>"), "seq")
+    got = {r["seq"]: (r["layer"], r["confidence"], r["matched_seq"]) if r["is_duplicate"] else None for r in dedup.deduplicate(rows, crowd=crowd).collect()}
+    want = replay_mixed([(*k, v) for k, v in zip(keyed(raw), vectors, strict=True)])
+    assert got == want and (not share or sum(v is not None and v[0] == "layer3_semantic" for v in want.values()) > 20)
+
+
+def test_encoder(spark):
+    """Vectors made for rows that have none: similar by hashed tokens, where Jaccard alone would not do."""
+    from talentlake.functions.vectors import hash_embedding
+
+    said = " ".join(f"w{k}" for k in range(20))
+    raw = [(0, "a", "1", "r1", said), (1, "b", "2", "r2", said + " more"), (2, "c", "3", "r3", "quite something else")]
+    plain = {r["seq"]: r["layer"] for r in dedup.deduplicate(postings(spark, raw), 0.93).collect()}
+    made = {r["seq"]: r["layer"] for r in dedup.deduplicate(postings(spark, raw), 0.93, encoder=lambda t: hash_embedding(t, 64)).collect()}
+    assert plain == {0: None, 1: None, 2: None} and made == {0: None, 1: "layer3_semantic", 2: None}
+
+
 def test_chain(spark):
     """A chain of 2,000 postings, each like the one before under another key: every second one is accepted."""
     raw = [(k, f"h{k // 2}", f"u{(k + 1) // 2}", f"r{k}", f"only{k}") for k in range(2000)]
