@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from talentlake.functions.text import holds_token, query_tokens
 from talentlake.functions.vectors import cosine_to, hash_embedding
+from talentlake.operators.lexical import Postings
 
 
 def vector_search(rows: DataFrame, query: Sequence[float], key: str, limit: int | None = 10, skip: int = 0, threshold: float = 0.0, where: Column | None = None, vector: str = "embedding") -> DataFrame:
@@ -55,15 +56,19 @@ def blended(near: DataFrame, hits: DataFrame, key: str, limit: int, alpha: float
 
 def hybrid_search(
     rows: DataFrame, query: Sequence[float], text: str, key: str, columns: Sequence[str], limit: int = 10, alpha: float = 0.6,
-    where: Column | None = None, threshold: float = 0.0, texts: DataFrame | None = None,
+    where: Column | None = None, threshold: float = 0.0, texts: DataFrame | None = None, postings: Postings | None = None,
 ) -> DataFrame:
     """(key, score) by a blend of a vector leg and a lexical leg, each of its best 2 * limit rows.
 
     ``texts`` holds the text columns where they lie in a table of their own; each leg then reads its own table alone.
+    With ``postings`` the lexical leg is BM25 over these; otherwise it counts the query's distinct tokens in all texts.
     """
     near = vector_search(rows, query, key, 2 * limit, where=where, threshold=threshold)
     if not text.strip():
         return near.limit(limit)
+    if postings is not None:
+        among = None if where is None else (rows if texts is None else texts).where(where)
+        return blended(near, postings.search(text, 2 * limit, among), key, limit, alpha)
     return blended(near, text_search(rows if texts is None else texts, text, key, columns, 2 * limit, where), key, limit, alpha)
 
 
