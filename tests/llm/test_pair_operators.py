@@ -118,6 +118,20 @@ def test_texts_of_one_document(spark):
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [("d1", "d1", True), ("d1", "d1", True), ("d2", "d1", False), ("d3", "d1", False), ("d4", "d4", True)]
 
 
+def test_one_row_for_each_group(spark):
+    """Rows of one doc_id in different groups, of which one is another's copy; repeated rows; near copies under one doc_id."""
+    words = lambda x, n=40: " ".join(f"{x}{k}" for k in range(n))
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(1, a, "s1"), (2, a, "s2"), (2, b, "s3"), (3, b + " more", "s4"), (3, b + " more", "s4"), (4, c, "z"), (4, c, "y"), (4, c + " end", "x"), (5, c, "w"), (None, a, "n"), (None, a, "n"), (6, "", "e"), (7, None, "e"), (7, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = near_dup.without_duplicates(docs).collect()
+    texts = collections.Counter((r["doc_id"], r["text"]) for r in got)
+    four = [(r["text"], r["source"]) for r in got if r["doc_id"] == 4]
+    assert four in ([(c, "y")], [(c + " end", "x")])
+    assert texts == collections.Counter([(1, a), (2, b), (4, four[0][0]), (None, a), (None, a), (6, ""), (7, None), (7, None)])
+    assert near_dup.without_duplicates(docs.limit(0)).count() == 0
+
+
 def test_pigeonhole():
     """Signatures within the distance always share an entry."""
     import numpy as np
