@@ -28,9 +28,9 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with certainty; null, empty and letterless texts go, as do near ties."""
+    """Documents whose language is told with certainty, under that language; null, empty and letterless texts go, as do near ties."""
     found = langid.identify(docs.select(*COLUMNS), langid.excerpts(docs), narrow=0.005)
-    return found.where(~F.col("rejected")).select(*COLUMNS)
+    return found.where(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one of least doc_id."""
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    return named.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one of least doc_id; rows that repeat it go too."""
+    return near_dup.without_duplicates(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
