@@ -22,7 +22,7 @@ SELECT k.doc_id, k.n AS n_shingles, CASE WHEN k.doc_id IS NOT NULL THEN coalesce
 FROM k LEFT JOIN least_of l ON l.class = k.class AND k.n > 0"""
 
 
-def _quality(reach: float = 3.0, min_group: int = 200) -> str:
+def _quality(reach: float = 3.0, prior: float = 200.0) -> str:
     """Base counts, quartiles of the buckets of each ratio by lang and source, by lang and overall, and the fences that follow."""
     ratios = ", ".join(f"{x} AS {k}" for k, (x, _, _) in RATIOS.items())
     listed = ", ".join(f"{{'ratio': '{k}', 'v': CAST({k} AS DOUBLE), 'least': {least}::DOUBLE, 'lower': {str(lower).upper()}}}" for k, (_, least, lower) in RATIOS.items())
@@ -35,7 +35,8 @@ def _quality(reach: float = 3.0, min_group: int = 200) -> str:
 {name}_b AS (SELECT {group}, max(total) AS total, min(bucket) FILTER (below >= 0.25 * total) AS b25, min(bucket) FILTER (below >= 0.75 * total) AS b75 FROM {name}_c GROUP BY {group}),
 {name} AS (SELECT {group}, total, CASE WHEN b25 = 0 THEN 0 ELSE 0.001::DOUBLE * pow(1.02::DOUBLE, b25) END AS q25, CASE WHEN b75 = 0 THEN 0 ELSE 0.001::DOUBLE * pow(1.02::DOUBLE, b75) END AS q75 FROM {name}_b)"""
 
-    pick = lambda q: f"CASE WHEN o.total >= {min_group} THEN o.{q} WHEN l.total >= {min_group} THEN l.{q} ELSE a.{q} END"
+    drawn = lambda n, q, to: f"({n}.total::DOUBLE * {q} + {prior}::DOUBLE * {to}) / ({n}.total::DOUBLE + {prior}::DOUBLE)"
+    pick = lambda q: drawn("o", f"o.{q}", drawn("l", f"l.{q}", f"a.{q}"))
     return rf"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
 win AS (SELECT rid, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i : i + 7], ' '))) AS win FROM w WHERE len(w) >= 8),
 again AS (SELECT rid, win FROM win GROUP BY rid, win HAVING count(*) > 1),

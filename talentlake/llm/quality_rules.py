@@ -7,8 +7,8 @@ most), so sketches merge by adding: partial sums before the shuffle, sources int
 language, languages into the whole, with the same result in any order.
 
 Defined results: a null or empty text has zero counts and fails the base rule (fewer than 20 words);
-a null lang or source is a group of its own; groups with fewer than ``min_group`` texts take
-the fences of their language, or of all texts; ties can't occur, as fences are inclusive;
+a null lang or source is a group of its own; a group's quartiles are drawn towards those of its language, and these towards those of
+all texts, by one rule for all sizes (``fences``); ties can't occur, as fences are inclusive;
 repeated rows count each time and each keep their row; extra columns are ignored;
 an empty table gives an empty table.
 """
@@ -68,28 +68,33 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), _value(quartile(0.25)).alias("q25"), _value(quartile(0.75)).alias("q75"))
 
 
-def fences(sketch: DataFrame, reach: float = 3.0, min_group: int = 200) -> DataFrame:
-    """One row per (lang, source): an array of (ratio, low, high) under ``fences``."""
-    levels = [_quartiles(sketch, keys) for keys in (["lang", "source"], ["lang"], [])]
-    own = levels[0]
-    lang = levels[1].select(F.col("lang").alias("lang2"), F.col("ratio").alias("ratio2"), *[F.col(c).alias(f"{c}2") for c in ("total", "q25", "q75")])
-    whole = levels[2].select(F.col("ratio").alias("ratio3"), *[F.col(c).alias(f"{c}3") for c in ("q25", "q75")])
+def fences(sketch: DataFrame, reach: float = 3.0, prior: float = 200.0) -> DataFrame:
+    """One row per (lang, source): the lower and upper fence of each ratio.
+
+    A quartile of a group of n texts is the mean of its own, weighted n, and its language's, weighted ``prior``; a language's is drawn
+    towards the whole corpus's in the same way.  So every group's own sketch counts at every size, a large one's nearly alone.
+    """
+    own, lang, whole = (_quartiles(sketch, keys) for keys in (["lang", "source"], ["lang"], []))
+    lang = lang.select(F.col("lang").alias("lang2"), F.col("ratio").alias("ratio2"), *[F.col(c).alias(f"{c}2") for c in ("total", "q25", "q75")])
+    whole = whole.select(F.col("ratio").alias("ratio3"), *[F.col(c).alias(f"{c}3") for c in ("q25", "q75")])
     joined = own.join(lang, own["lang"].eqNullSafe(lang["lang2"]) & (own["ratio"] == lang["ratio2"])).join(whole, own["ratio"] == whole["ratio3"])
-    pick = lambda c: F.when(F.col("total") >= min_group, F.col(c)).when(F.col("total2") >= min_group, F.col(f"{c}2")).otherwise(F.col(f"{c}3"))
+    drawn = lambda n, q, to: (F.col(n).cast("double") * q + prior * to) / (F.col(n).cast("double") + prior)
+    low, high = (drawn("total", F.col(c), drawn("total2", F.col(f"{c}2"), F.col(f"{c}3"))) for c in ("q25", "q75"))
     least = F.create_map(*[F.lit(x) for k, v in RATIOS.items() for x in (k, v[1])])[F.col("ratio")]
     lower = F.col("ratio").isin(*[k for k, v in RATIOS.items() if v[2]])
-    spread = F.greatest(pick("q75") - pick("q25"), least) * reach
+    spread = F.greatest(F.col("q75_") - F.col("q25_"), least) * reach
     return (
-        joined.withColumns({"low": F.when(lower, pick("q25") - spread), "high": pick("q75") + spread})
+        joined.withColumns({"q25_": low, "q75_": high})
+        .withColumns({"low": F.when(lower, F.col("q25_") - spread), "high": F.col("q75_") + spread})
         .groupBy("lang", "source")
         .agg(*[F.max(F.when(F.col("ratio") == k, F.col(end))).alias(f"{k}_{end}") for k in RATIOS for end in ("low", "high")])
     )
 
 
-def judge(docs: DataFrame, reach: float = 3.0, min_group: int = 200) -> DataFrame:
+def judge(docs: DataFrame, reach: float = 3.0, prior: float = 200.0) -> DataFrame:
     """The counts of each document with base_failed, its group's fences, the ratios outside them and kept."""
     counts = cut(counted(docs))
-    limits = fences(sketches(counts), reach, min_group)
+    limits = fences(sketches(counts), reach, prior)
     limits = limits.withColumnsRenamed({"lang": "lang_of", "source": "source_of"})
     joined = counts.join(limits, counts["lang"].eqNullSafe(limits["lang_of"]) & counts["source"].eqNullSafe(limits["source_of"]), "left").drop("lang_of", "source_of")
     out = F.array_compact(F.array(*[F.when((F.col(k) < F.col(f"{k}_low")) | (F.col(k) > F.col(f"{k}_high")), F.lit(k)) for k in RATIOS]))
