@@ -7,7 +7,7 @@ not with the square of a group, and no count of copies is too large to be seen.
 pair is aligned with patience diff (lines unique in both documents are anchors, the longest
 increasing run of anchors is kept, equal neighbours join, gaps are aligned in turn;
 anchors that cross it are blocks that moved, and further copies of a line align with its first), and aligned blocks of ``min_block`` words or more are
-deleted from the later document, as are the runs that both hold.
+deleted from the later document; an aligned line counts for the longest block that any of its copies stands in.
 
 That finds every block of ``min_block`` words or more that any earlier document holds: each of its lines lies in a run within the
 block, whose first document is a partner.
@@ -134,7 +134,11 @@ def run_keys(lines: list[int], words: list[int], min_block: int) -> dict[tuple[i
 
 
 def removable(a: list[int], b: list[int], words: list[int], min_block: int) -> list[int]:
-    """Places in b that belong to aligned blocks of enough words, or to runs of enough words that a holds too."""
+    """Places in b that belong to aligned blocks of enough words.
+
+    A line with several copies in a is aligned with one of them, though a block with another copy may be longer.  So aligned lines whose block
+    is too short are tried again: runs of aligned lines that stand in a as well, anywhere, are blocks too.
+    """
     to = patience(a, b)
     out, block = [], []
     for j in [*sorted(to), None]:
@@ -143,13 +147,17 @@ def removable(a: list[int], b: list[int], words: list[int], min_block: int) -> l
                 out += block
             block = []
         block.append(j)
-    if len(out) == len(b):
+    sure = set(out)
+    loose = [k in to and k not in sure for k in range(len(b))]
+    if not any(loose):
         return out
+    gaps = [0, *accumulate(k not in to for k in range(len(b)))]  # lines without a partner before each place
+    open_ = [0, *accumulate(loose)]
     size = dict(zip(b, words, strict=True))
     held = set(run_keys(a, [size.get(x, min_block) for x in a], min_block).values())  # a run with a line that b lacks is in no case shared
     steps = [0] * (len(b) + 1)
     for (i, j), key in run_keys(b, words, min_block).items():
-        if key in held:
+        if gaps[i] == gaps[j] and open_[i] < open_[j] and key in held:
             steps[i] += 1
             steps[j] -= 1
     return sorted({*out, *(k for k, n in enumerate(accumulate(steps)) if n)})
