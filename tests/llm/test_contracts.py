@@ -229,17 +229,24 @@ def test_language_model_rows(spark, odd_tables):
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, odd_tables, "documents")
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
-    logp = lattice_lm.fit(lattice_lm.word_counts(docs, train), path)
-    by, sp = lattice_lm.pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
-    known = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
     counts, ends = collections.Counter(), 0
     for r in docs.collect():
         if held_out(r["doc_id"], 5) != 1:
             counts.update(lattice_lm.tokens(r["text"]))
             ends += 1
-    n, once, twice = counts.total() + ends, sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
-    d, v = (once / (once + 2 * twice) if once and twice else 0.5), len(counts) + 1
-    word = lambda w: math.log10(max(counts[w] - d, 0) / n + d * len(counts) / n * math.exp(slow_lattice(w.decode(), by, logp, known)))
+    by, sp = lattice_lm.pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    known = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+
+    def weights(t):
+        """From the scores in the file alone."""
+        w = [(10 + (sp.get_piece_size() if sp.is_byte(i) else -sp.get_score(i))) ** -t for i in range(sp.get_piece_size())]
+        return [math.log(x / math.fsum(w)) for x in w]
+
+    tried = [(sum(c * slow_lattice(w.decode(), by, logp, known) for w, c in counts.items()), -t, logp) for t in lattice_lm.POWERS for logp in [weights(t)]]
+    logp = max(tried)[2]
+    assert np.allclose(lattice_lm.fit(lattice_lm.word_counts(docs, train), path), logp)
+    n, v = counts.total() + ends, len(counts) + 1
+    word = lambda w: math.log10(counts.total() / n) + slow_lattice(w.decode(), by, logp, known) / math.log(10)
     memo = {}
     for text, r in rows_of(spark, odd_tables, "op8_lm_scoring"):
         said = lattice_lm.tokens(text)

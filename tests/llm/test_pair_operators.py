@@ -220,6 +220,31 @@ def test_patience():
     assert line_dedup.removable([1, 2, 3], [3, 1, 2], [9, 9, 9], 10) == [1, 2]
 
 
+def test_alignment_decides(monkeypatch):
+    """Blocks that cross, insertions within a block, and copies: what goes are the aligned blocks, and without an alignment nothing does."""
+    rng = random.Random(9)
+    size = {x: rng.choice([0, 2, 6, 11, 25]) for x in range(1, 13)}
+    cases = []
+    for _ in range(3000):
+        a, b = ([rng.randrange(1, 13) for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        if rng.random() < 0.5:  # b is a with blocks exchanged, a line put in and one repeated
+            cut = sorted(rng.randrange(len(a) + 1) for _ in range(2))
+            b = a[cut[0] : cut[1]] + a[: cut[0]] + [rng.randrange(1, 13)] + a[cut[1] :] + a[:1]
+        words = [size[x] for x in b]
+        gone = set()
+        for x in range(len(a)):
+            for y in range(len(b)):
+                k = 0
+                while x + k < len(a) and y + k < len(b) and a[x + k] == b[y + k]:
+                    k += 1
+                if sum(words[y : y + k]) >= 20:
+                    gone.update(range(y, y + k))
+        cases.append((a, b, words, sorted(gone)))
+    assert all(sorted(line_dedup.removable(a, b, w, 20)) == gone for a, b, w, gone in cases) and sum(bool(c[3]) for c in cases) > 500
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: {})
+    assert not any(line_dedup.removable(a, b, w, 20) for a, b, w, _ in cases)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
