@@ -157,8 +157,8 @@ def _met(dealt: DataFrame, threshold: float, emit, ddl: str, names: list[str]) -
     """
 
     def near(x: Side, y: Side, same: bool) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(x.ids), 1024):
-            part = Side(x.ids[k : k + 1024], x.copies[k : k + 1024], x.v[k : k + 1024])
+        for k in range(0, len(x.ids), 256):
+            part = Side(x.ids[k : k + 256], x.copies[k : k + 256], x.v[k : k + 256])
             score = np.round(part.v @ y.v.T / np.sqrt(part.norm[:, None] * y.norm[None, :]), 12)
             good = score >= threshold
             if same:
@@ -196,7 +196,7 @@ def _met(dealt: DataFrame, threshold: float, emit, ddl: str, names: list[str]) -
     return dealt.repartition("dim", "part").sortWithinPartitions("dim", "part", "visitor").mapInArrow(run, ddl)
 
 
-def cosine_pairs(found: DataFrame, threshold: float = 0.9, pivots: int = 1024, block: int = 1000) -> DataFrame:
+def cosine_pairs(found: DataFrame, threshold: float = 0.9, pivots: int = 1024, block: int = 16_384) -> DataFrame:
     """(a, b, score): all pairs of classes with a cosine of ``threshold`` or more, a < b.  ``threshold`` is above 0."""
     kind = found.schema["cid"].dataType.simpleString()
 
@@ -211,7 +211,7 @@ def cosine_pairs(found: DataFrame, threshold: float = 0.9, pivots: int = 1024, b
     return _met(_dealt(found, threshold, pivots, block), threshold, emit, f"a {kind}, b {kind}, score double", ["a", "b", "score"])
 
 
-def cosine_links(rows: DataFrame, key: str, vector: str, threshold: float = 0.9, pivots: int = 1024, block: int = 1000) -> DataFrame:
+def cosine_links(rows: DataFrame, key: str, vector: str, threshold: float = 0.9, pivots: int = 1024, block: int = 16_384) -> DataFrame:
     """(key, class, copies, n_links, best, best_score) of every row that has a vector; no pair leaves a task.
 
     ``class`` is the least key with the same vector and ``copies`` their number, ``n_links`` counts the other rows, copies included, at a cosine
