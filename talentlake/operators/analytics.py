@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talentlake.functions.text import filled
+from talentlake.operators.selection import medians
+from talentlake.operators.shared import cut
 
 
 def place_name() -> Column:
@@ -25,15 +27,15 @@ def average_match(rows: DataFrame) -> DataFrame:
 
 
 def salary_stats(rows: DataFrame) -> DataFrame:
-    """Count, min, max, mean and median of mid-range pay, by currency and period, most frequent first."""
+    """Count, min, max, mean and exact median of mid-range pay, by currency and period, most frequent first."""
     low = F.col("salary.min_amount")
     amount = (low + F.coalesce(F.nullif(F.col("salary.max_amount"), F.lit(0.0)), low)) / 2
-    paid = rows.where(low.isNotNull()).select("seq", F.coalesce(filled(F.col("salary.currency")), F.lit("?")).alias("currency"), F.coalesce(filled(F.col("salary.period")), F.lit("year")).alias("period"), amount.alias("amount"))
+    paid = cut(rows.where(low.isNotNull()).select("seq", F.coalesce(filled(F.col("salary.currency")), F.lit("?")).alias("currency"), F.coalesce(filled(F.col("salary.period")), F.lit("year")).alias("period"), amount.alias("amount")))
     stats = paid.groupBy("currency", "period").agg(
-        F.count("*").alias("count"), F.min("amount").alias("min"), F.max("amount").alias("max"), F.round(F.avg("amount"), 2).alias("avg"),
-        F.round(F.median("amount"), 2).alias("median"), F.min("seq").alias("first"),
-    )
-    return stats.orderBy(F.desc("count"), "first").drop("first")
+        F.count("*").alias("count"), F.min("amount").alias("min"), F.max("amount").alias("max"), F.round(F.avg("amount"), 2).alias("avg"), F.min("seq").alias("first")
+    )
+    stats = stats.join(medians(paid, ["currency", "period"], "amount"), ["currency", "period"], "left")
+    return stats.orderBy(F.desc("count"), "first").select("currency", "period", "count", "min", "max", "avg", F.round("median", 2).alias("median"))
 
 
 def hiring_trend(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talentlake.functions import parse, terms
 from talentlake.functions.text import content_tokens, fingerprint, url_key
-from talentlake.functions.vectors import hash_embedding
+from talentlake.functions.vectors import Hasher, hash_embedding, text_cosine
 from talentlake.operators import analytics, store
 from talentlake.operators.rank import Resume, best_matches, rank, scores
 from talentlake.operators.shared import cut
@@ -283,10 +283,8 @@ def match_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole match struct with hashed embeddings; tests hold it against a plain computation."""
     rows = jobs(spark, sf_dir)
-    rows = rows.withColumn("embedding", hash_embedding(job_text(rows)))
-    from talentlake.functions.vectors import Hasher
-
     vector = [float(x) for x in Hasher().encode(["python pytorch rag machine learning engineer"])[0]]
+    rows = rows.withColumn("similarity", text_cosine(job_text(rows), vector))
     return best_matches(rows, Resume("ai", vector, RESUME.skills, RESUME.preferred_locations), now(), 50).select("seq", "role", "match")
 
 

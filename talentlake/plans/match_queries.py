@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentlake.functions import terms
-from talentlake.operators import ann, blocks, lexical, matching, search, similarity
+from talentlake.operators import ann, blocks, buckets, lexical, matching, search, selection, similarity
 from talentlake.operators.shared import shared_dir
 from talentlake.plans import dedup
 from talentlake.plans import oracle as o
@@ -204,3 +204,43 @@ def match_all_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("at"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = jobs(spark, sf_dir).withColumn("at", F.col("seq") % n).join(vectors, "at", "left")
     return matching.match_all(rows, people(spark, sf_dir), F.lit(_FAR).cast("timestamp"), 10)
+
+
+# --- positions, deep pages and stored buckets
+
+_ORDERED = "row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) - 1"
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> selection.Ranked:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_extendedprice")
+    order = [F.col("l_extendedprice").desc(), *[F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")]]
+    return selection.Ranked.build(lines, order, _folder(spark, "ranked"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_ORDERED} AS position FROM lineitem")
+def global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position of every row by price, without a window over all rows."""
+    return _ranked(spark, sf_dir).rows().select("l_orderkey", "l_linenumber", "position")
+
+
+@query(f"WITH r AS (SELECT l_orderkey, l_linenumber, {_ORDERED} AS position, count(*) OVER () AS n FROM lineitem) SELECT l_orderkey, l_linenumber, position FROM r WHERE position >= 5 * n // 6 AND position < 5 * n // 6 + 25")
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of 25 rows at five sixths of the table; it reads one or two ranges."""
+    ranked = _ranked(spark, sf_dir)
+    return ranked.page(5 * ranked.total // 6, 25).select("l_orderkey", "l_linenumber", "position")
+
+
+@query(
+    """SELECT o_orderkey AS job_hash, CASE WHEN o_orderkey % 101 = 0 THEN 'new' WHEN o_orderkey % 103 = 0 THEN 'closed' ELSE 'old' END AS status,
+  CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS created FROM orders WHERE (o_orderkey % 4 <> 0 OR o_orderkey % 101 = 0) AND o_orderkey % 107 <> 0"""
+)
+def bucketed_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored: keys that 4 doesn't divide; then upserts, changes and deletes of some keys, each of which rewrites the folders of these keys only."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_hash"))
+    at = lambda y: F.lit(f"200{y}-01-01").cast("timestamp")
+    stored = buckets.Buckets(spark, _folder(spark, "jobs"), "job_hash long, status string, created_at timestamp, updated_at timestamp", ["job_hash"], 32)
+    stored.upsert(orders.where("job_hash % 4 <> 0").withColumn("status", F.lit("old")), at(1))
+    stored.upsert(orders.where("job_hash % 101 = 0").withColumn("status", F.lit("new")), at(2))
+    stored.update(orders.where("job_hash % 103 = 0 AND job_hash % 101 <> 0"), {"status": F.lit("closed")}, at(3))
+    stored.delete(orders.where("job_hash % 107 = 0"))
+    return stored.rows().select("job_hash", "status", (F.year("created_at") - 2000).alias("created"))

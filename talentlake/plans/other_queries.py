@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentlake.functions import parse
 from talentlake.functions.vectors import cosine
 from talentlake.operators import analytics, companies, runs, search, store
+from talentlake.operators.shared import shared_dir
 from talentlake.plans.jobs_view import ORACLE_JOBS, jobs_v, table
 from talentlake.plans.registry import query
 from talentlake.plans.registry import sql_text as q
 from talentlake.sources import ats, files, registry
-from talentlake.streaming import trends
+from talentlake.streaming import stateful, trends
 
 # --- vectors: the query vector is a fixed pattern of 64 numbers
 
@@ -390,6 +393,36 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "event_type").agg(F.min("posted_date").alias("first_at"), F.count("*").alias("n"))
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*")
+
+
+_PASSED = "epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM events)"
+
+
+@query(f"WITH e AS (SELECT event_id, user_id, ts, {_STATES} AS state FROM events), x AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'idle') AS b FROM e) SELECT event_id, b AS before, (state = b OR {_LEGAL}) AS legal FROM x WHERE {_PASSED}")
+def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``state_transitions`` from a stream, with keyed state and timers: all events that the watermark has passed."""
+    events = _event_stream(spark, sf_dir).select("event_id", F.col("user_id").alias("collector"), F.col("ts").cast("timestamp").alias("at"), F.expr(_STATES).alias("state"))
+    folder = f"{shared_dir(spark).rstrip('/')}/states-{uuid.uuid4().hex}"
+    return stateful.drain(stateful.state_stream(events), folder).select("event_id", "before", "legal")
+
+
+@query(
+    f"""WITH e AS (SELECT *, epoch_ms(ts) AS ms, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS run, lead(epoch_ms(ts)) OVER w AS next_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id, run, event_type = 'purchase' ORDER BY ts, event_id) AS attempts, least(3600, 30 * pow(2, least(20, row_number() OVER (PARTITION BY user_id, run, event_type = 'purchase' ORDER BY ts, event_id) - 1))) AS wait FROM e),
+s AS (SELECT user_id, event_id, ms, next_ms, attempts, wait, CASE WHEN event_type = 'purchase' THEN 'done' WHEN attempts > 5 THEN 'exhausted' ELSE 'pending' END AS status FROM a WHERE {_PASSED})
+SELECT user_id AS task_id, event_id, status, CASE WHEN status = 'pending' THEN wait ELSE 0 END::BIGINT AS wait FROM s
+UNION ALL SELECT user_id, NULL, 'due', 0 FROM s WHERE status = 'pending' AND ms + wait * 1000 < (SELECT epoch_ms(max(ts)) FROM events) AND (next_ms IS NULL OR next_ms > ms + wait * 1000)"""
+)
+def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of tasks in a stream: users are tasks, a purchase ends their failures."""
+    kind = F.when(F.col("event_type") == "purchase", "done").otherwise("failure")
+    events = _event_stream(spark, sf_dir).select("event_id", F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"))
+    folder = f"{shared_dir(spark).rstrip('/')}/retries-{uuid.uuid4().hex}"
+    return stateful.drain(stateful.retry_stream(events), folder).select("task_id", "event_id", "status", F.col("backoff_seconds").cast("long").alias("wait"))
+
+
 @query("SELECT s_suppkey AS seq, s_name AS name, concat('https://x.example/', CAST(s_suppkey AS VARCHAR)) AS career_url FROM supplier")
 def seed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid lines made from suppliers, read as a seed table; half the lines are rules or headers."""
