@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -58,6 +59,18 @@ def is_fresh(text: Column, model: Model, version: int = EMBEDDING_VERSION) -> Co
     return F.coalesce((F.size("embedding") > 0) & same, F.lit(False))
 
 
+Encoder = Callable[[Column], Column]
+
+
+def encoded(text: Column, model: Model, encoder: Encoder | None) -> Column:
+    """The vectors of texts by an encoder: the one given, or hashing.  A model that is known by name is no hashing, and is refused without its encoder."""
+    if encoder is not None:
+        return encoder(text)
+    if model.name in MODELS:
+        raise ValueError(f"{model.name} needs an encoder")
+    return hash_embedding(text, model.dimensions)
+
+
 def _stamp(model: Model, text: Column, now: Column, version: int) -> Column:
     return F.struct(
         F.lit(model.name).alias("model_name"), F.lit(version).alias("embedding_version"), F.lit(model.dimensions).alias("dimensions"),
@@ -65,7 +78,7 @@ def _stamp(model: Model, text: Column, now: Column, version: int) -> Column:
     )
 
 
-def embed(rows: DataFrame, text: Column, model: Model, now: Column, version: int = EMBEDDING_VERSION, renew: Column | None = None) -> DataFrame:
+def embed(rows: DataFrame, text: Column, model: Model, now: Column, version: int = EMBEDDING_VERSION, renew: Column | None = None, encoder: Encoder | None = None) -> DataFrame:
     """``rows`` with embedding, embedding_meta and renewed; only rows of which ``renew`` holds (by default those that aren't fresh) are embedded.
 
     Missing columns count as null.  Fresh rows pass the encoder as nulls, so that one pass serves both kinds.
@@ -74,7 +87,7 @@ def embed(rows: DataFrame, text: Column, model: Model, now: Column, version: int
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     marked = rows.withColumn("renewed", ~is_fresh(text, model, version) if renew is None else F.coalesce(renew, F.lit(False)))
-    vector = hash_embedding(F.when(F.col("renewed"), model_text(text, model)), model.dimensions)
+    vector = encoded(F.when(F.col("renewed"), model_text(text, model)), model, encoder)
     return marked.withColumns({
         "embedding": F.when(F.col("renewed"), vector).otherwise(F.col("embedding")),
         "embedding_meta": F.when(F.col("renewed"), _stamp(model, text, now, version)).otherwise(F.col("embedding_meta")),
@@ -97,12 +110,12 @@ def from_models(stored: DataFrame, model: Model) -> DataFrame:
     return stored.where(stale).groupBy(source.alias("model_name")).agg(F.count("*").alias("n"))
 
 
-def migrate(stored: DataFrame, text: Column, model: Model, now: Column) -> DataFrame:
+def migrate(stored: DataFrame, text: Column, model: Model, now: Column, encoder: Encoder | None = None) -> DataFrame:
     """Stored rows with those of another model, or of none, embedded by this one."""
-    return embed(stored, text, model, now, renew=_source(model)[1])
+    return embed(stored, text, model, now, renew=_source(model)[1], encoder=encoder)
 
 
-def embed_resumes(requests: DataFrame, stored: DataFrame, model: Model, now: Column, version: int = EMBEDDING_VERSION, force: bool = False) -> DataFrame:
+def embed_resumes(requests: DataFrame, stored: DataFrame, model: Model, now: Column, version: int = EMBEDDING_VERSION, force: bool = False, encoder: Encoder | None = None) -> DataFrame:
     """One record a request: the stored one where its content hasn't changed, else a new one; and regenerated.
 
     Requests are (resume_id, content, label, skills, preferred_locations, max_experience_years); a label or list that a request leaves
@@ -117,7 +130,7 @@ def embed_resumes(requests: DataFrame, stored: DataFrame, model: Model, now: Col
     fresh = {
         "label": F.coalesce(filled(F.col("label")), F.col("__label")), "skills": listed("skills"), "preferred_locations": listed("preferred_locations"),
         "max_experience_years": F.coalesce("max_experience_years", F.lit(2.0)), "content_hash": content_hash(F.col("content")),
-        "embedding": hash_embedding(F.when(F.col("regenerated"), model_text(F.col("content"), model, query=True)), model.dimensions),
+        "embedding": encoded(F.when(F.col("regenerated"), model_text(F.col("content"), model, query=True)), model, encoder),
         "model_name": F.lit(model.name), "embedding_version": F.lit(version), "dimensions": F.lit(model.dimensions), "generated_at": now,
     }
     return both.select("resume_id", *[F.when(F.col("regenerated"), fresh[c]).otherwise(F.col(f"__{c}")).alias(c) for c in kept], "regenerated")

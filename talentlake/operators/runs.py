@@ -116,9 +116,13 @@ def capable(offered: Column, wanted: Column) -> Column:
     return F.size(F.array_except(wanted, offered)) == 0
 
 
+def version_numbers(version: Column) -> Column:
+    """The numbers of a version, which compare as versions do: 1.10 comes after 1.9.  What is no number counts as 0."""
+    return F.transform(F.split(version, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
+
+
 def version_at_least(version: Column, least: Column) -> Column:
-    numbers = lambda v: F.transform(F.split(v, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
-    return numbers(version) >= numbers(least)
+    return version_numbers(version) >= version_numbers(least)
 
 
 def run_ids(run_id: str | None = None, correlation_id: str | None = None) -> dict[str, str]:
@@ -137,7 +141,7 @@ REPORT_VERSION, PIPELINE_VERSION = 1, "2.0"
 
 def versions(jobs: DataFrame) -> DataFrame:
     """One row: the versions of report, schema and pipeline, and those of the collectors that produced ``jobs``, by source (the latest of each)."""
-    by_source = jobs.where("collector_version IS NOT NULL").groupBy("source").agg(F.max("collector_version").alias("v"))
+    by_source = jobs.where("collector_version IS NOT NULL").groupBy("source").agg(F.max_by("collector_version", F.struct(version_numbers(F.col("collector_version")).alias("n"), "collector_version")).alias("v"))
     # one entry a source
     found = by_source.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "v")))).alias("collector_versions"), F.lit(0).alias("n"))
     return found.select(F.lit(REPORT_VERSION).alias("report_version"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(PIPELINE_VERSION).alias("pipeline_version"), "collector_versions")

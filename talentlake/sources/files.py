@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path, PurePosixPath
+from pathlib import PurePosixPath
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,24 +43,38 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return _from_tree(spark, spark.read.option("wholetext", True).text(path))
 
 
-def read_yaml(spark: SparkSession, path: str) -> DataFrame:
-    """As read_json, for YAML; a small file, parsed on the driver."""
-    import yaml
+def as_json(text: Column) -> Column:
+    """YAML texts as JSON, in the tasks that read them; null for an empty document."""
+
+    @F.pandas_udf("string")
+    def convert(texts: pd.Series) -> pd.Series:
+        import yaml
+
+        return texts.map(lambda t: None if (x := yaml.safe_load(t)) is None else json.dumps(x, default=str))
+
+    return convert(text)
 
-    with open(path, encoding="utf-8") as f:
-        return _from_tree(spark, spark.createDataFrame([(json.dumps(yaml.safe_load(f), default=str),)], "value string"))
+
+def whole_json(spark: SparkSession, path: str) -> DataFrame:
+    """(value): JSON or YAML files as JSON texts, one row a file, read by Spark from wherever they lie."""
+    text = spark.read.option("wholetext", True).text(path)
+    return text.select(as_json(F.col("value")).alias("value")) if detect_format(path) == "yaml" else text
+
+
+def read_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """As read_json, for YAML."""
+    return _from_tree(spark, whole_json(spark, path))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """As read_yaml, for company metadata: a list of objects or an object with such a list; none for all else and for a missing file."""
-    import yaml
-
-    data = None
-    if Path(path).exists():
-        data = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
-    data = data.get("companies") if isinstance(data, dict) else data
-    listed = [x for x in data if isinstance(x, dict)] if isinstance(data, list) else []
-    return _from_tree(spark, spark.createDataFrame([(json.dumps(listed, default=str),)], "value string"))
+    try:
+        text = whole_json(spark, path)
+    except AnalysisException:  # no such file
+        return spark.createDataFrame([], "row_no int, fields map<string,string>")
+    listed = F.coalesce(F.from_json("value", "array<string>"), F.from_json(F.get_json_object("value", "$.companies"), "array<string>"))
+    objects = F.transform(F.filter(listed, lambda x: F.substring(F.trim(x), 1, 1) == "{"), lambda x: F.from_json(x, "map<string,string>"))
+    return text.select(F.posexplode(objects).alias("row_no", "fields"))
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
