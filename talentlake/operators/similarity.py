@@ -211,6 +211,48 @@ def cosine_pairs(found: DataFrame, threshold: float = 0.9, pivots: int = 1024, b
     return _met(_dealt(found, threshold, pivots, block), threshold, emit, f"a {kind}, b {kind}, score double", ["a", "b", "score"])
 
 
+def cosine_cross(found: DataFrame, threshold: float = 0.9, pivots: int = 1024, block: int = 16_384) -> DataFrame:
+    """(a, b, score): pairs of classes (cid, v, left, right), a of the left side and b of the right one; a class may be on both."""
+    kind = found.schema["cid"].dataType.simpleString()
+    sided = found.select("cid", "v", (F.col("left").cast("long") + 2 * F.col("right").cast("long")).alias("copies"))
+
+    def emit(x: Side, y: Side, score: np.ndarray, good: np.ndarray, same: bool) -> Iterator[list]:
+        for p, q, s, g in ((x, y, score, good), *([] if same else [(y, x, score.T, good.T)])):
+            i, j = np.nonzero(g & ((p.copies & 1) > 0)[:, None] & ((q.copies & 2) > 0)[None, :])
+            yield [pa.array(p.ids[i]), pa.array(q.ids[j]), pa.array(s[i, j])]
+
+    return _met(_dealt(sided, threshold, pivots, block), threshold, emit, f"a {kind}, b {kind}, score double", ["a", "b", "score"])
+
+
+def cosine_forest(found: DataFrame, threshold: float = 0.9, pivots: int = 1024, block: int = 16_384) -> DataFrame:
+    """(a, b): links enough to join what pairs at ``threshold`` or more join; a vector sends a link for each group of its neighbours that isn't joined yet."""
+    kind = found.schema["cid"].dataType.simpleString()
+
+    def emit(x: Side, y: Side, score: np.ndarray, good: np.ndarray, same: bool) -> Iterator[list]:
+        if not hasattr(y, "root"):
+            y.root = np.arange(len(y.ids))  # of the block's own vectors, for as long as the block lasts
+        at = {v: k for k, v in enumerate(y.ids.tolist())} if same else {}
+        a, b = [], []
+        for i in np.flatnonzero(good.any(axis=1)).tolist():
+            near = np.flatnonzero(good[i])
+            roots, first = np.unique(y.root[near], return_index=True)
+            if same:
+                own = y.root[at[x.ids[i].item() if hasattr(x.ids[i], "item") else x.ids[i]]]
+                others = roots != own
+                roots, first = roots[others], first[others]
+                keep = own
+            else:
+                keep = roots[0]
+            a += [x.ids[i]] * len(first)
+            b += y.ids[near[first]].tolist()
+            if len(roots):
+                y.root[np.isin(y.root, roots)] = keep
+        if a:
+            yield [pa.array(np.array(a)), pa.array(np.array(b))]
+
+    return _met(_dealt(found, threshold, pivots, block), threshold, emit, f"a {kind}, b {kind}", ["a", "b"])
+
+
 def cosine_links(rows: DataFrame, key: str, vector: str, threshold: float = 0.9, pivots: int = 1024, block: int = 16_384) -> DataFrame:
     """(key, class, copies, n_links, best, best_score) of every row that has a vector; no pair leaves a task.
 

@@ -64,11 +64,11 @@ class Accepted:
             dedup.frequencies(sets).write.mode("overwrite").parquet(f"{self.path}/order")
         return self.spark.read.schema("token string, df long").parquet(f"{self.path}/order")
 
-    def deduplicate(self, jobs: DataFrame, crowd: int = 50_000, encoder: Callable[[Column], Column] | None = None) -> DataFrame:
+    def deduplicate(self, jobs: DataFrame, crowd: int = 20_000, encoder: Callable[[Column], Column] | None = None) -> DataFrame:
         """Verdicts of a batch, as ``dedup.deduplicate``, given all that was accepted before; what is accepted now is stored.
 
         ``seq`` must be unique and larger than those of earlier batches.  An empty batch gives no verdicts and is no batch.
-        Vectors are compared with all stored ones anew.
+        The vectors of a batch are compared with all stored ones.
         """
         rows = cut(dedup.records(jobs, encoder))
         low, high = rows.agg(F.min("seq"), F.max("seq")).first()
@@ -81,19 +81,22 @@ class Accepted:
         ordered = cut(dedup.ordered_sets(sets, order))
         prefix = written(dedup.prefixes(ordered, self.threshold))
 
-        found = None
+        found, vectors = None, None
         if encoder is not None or "embedding" in jobs.columns:
-            found, members = classes(rows.select("seq", "vector").unionByName(before.select("seq", "vector")), "seq", "vector")
+            vectors = rows.where("vector IS NOT NULL").select("seq", "vector")
+            found, members = classes(vectors.unionByName(before.select("seq", "vector")), "seq", "vector")
             rows, before = dedup.marked(rows, members), dedup.marked(before, members)
         else:
             rows, before = dedup.marked(rows, None), dedup.marked(before, None)
         rows = cut(rows)
 
-        # pairs of tokens: within the batch, and with what is stored
-        pairs = written(dedup.close_sets(prefix, ordered, prefix, ordered, self.threshold, same=True))
+        # what of the index the batch is like, by tokens and by vectors
         old = written(self._met("prefixes", "token", prefix).select("id", "n", "at", "token"))
-        across = written(dedup.close_sets(prefix, ordered, old, self.stored("sets").select("id", "tokens"), self.threshold))
-        similar = cut(dedup.mark_pairs(pairs, across, found, self.threshold))
+        across = dedup.close_sets(prefix, ordered, old, self.stored("sets").select("id", "tokens"), self.threshold)
+        similar = dedup.mark_pairs(None, written(across).where("a <> b"), self.threshold)
+        if found is not None:
+            similar = similar.unionByName(dedup.vectors_like(rows, before, found, self.threshold))
+        similar = cut(similar)
 
         # the accepted rows that the batch touches: under a key, or under a mark that one of its own marks is like
         keys = dedup.key_rows(rows)
@@ -105,9 +108,10 @@ class Accepted:
         by_mark = dedup.mark_rows(before, 1).join(named, ["rel", "mark"]).select(F.col("seq").alias("least"))
         touched = cut(before.join(by_key.unionByName(by_mark).distinct().withColumnRenamed("least", "seq"), "seq", "left_semi"))
 
-        behind = dedup.behind(rows, touched, similar)
-        rest = rows.join(behind, "seq", "left_anti")
-        kept = cut(rows.join(dedup.accepted(rest, similar, crowd), "seq", "left_semi"))
+        rest = cut(rows.join(dedup.behind(rows, touched, similar), "seq", "left_anti"))
+        own = None if found is None else written(found.join(rest.where("vec IS NOT NULL").select(F.col("vec").cast("long").alias("cid")).distinct(), "cid", "left_semi"))
+        kept = cut(rows.join(dedup.accepted(rest, vectors, own, self.threshold, crowd), "seq", "left_semi"))
+        similar = similar.unionByName(dedup.unexplained(rows, kept, found, self.threshold))
         verdicts = written(dedup.verdicts(rows, kept.unionByName(touched), similar))
         if low is not None:
             self._enter(rows.select("seq"), kept, jobs, ordered, prefix, dedup.records(jobs, encoder), len(done), high)
