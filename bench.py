@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 HEADLINE = (
     "funnel_rejected_by", "normalize_salary", "skills_extract", "top_companies", "salary_stats", "hiring_trend", "duplicate_groups", "job_hashes", "rank_composite",
-    "vector_topk", "hybrid_search", "hash_embed", "company_validate", "company_route", "collector_benchmark", "upsert_jobs", "content_fingerprint",
+    "vector_topk", "hybrid_search", "hash_embed", "company_validate", "company_route", "collector_benchmark", "upsert_jobs", "content_fingerprint", "match_all_top", "daily_run", "bm25_search", "vector_neighbours", "taxonomy_match",
 )
 
 
