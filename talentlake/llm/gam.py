@@ -145,8 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Gam:
     # at most ``sample`` rows of two numbers: small enough for every task
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     ddl = ", ".join(f"{f} double" for f in FEATURES)
-    rows = add_columns(texts, ["text"], ddl, lambda t: list(features(t).T)).drop("text").dropDuplicates().toPandas()
-    rows = rows.sort_values(["doc_id", *FEATURES]).head(sample)
+    rows = add_columns(texts, ["text"], ddl, lambda t: list(features(t).T)).drop("text").dropDuplicates()
+    # ids may repeat with many texts: the rows are bounded before they are collected
+    rows = rows.orderBy("doc_id", *FEATURES).limit(sample).toPandas().sort_values(["doc_id", *FEATURES])
     return fit(rows[list(FEATURES)].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
 
 
