@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from talentlake.llm.common import add_columns, crc_mod, held, table
 
 UNKNOWN = "und"
+#: Blocks that stand for a text longer than a language's whole budget.
+SPREAD = 16
 _NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -38,8 +40,9 @@ def excerpts(train: DataFrame, each: int = 400, chars: int = 400_000, total: int
     """Dictionary contents by language.
 
     The sample is bounded: whole texts of a language in order of their hashes, ``each`` at most and ``chars`` characters at most, or
-    an equal share of ``total`` characters where there are many languages.  A text that is longer than all that
-    is only used where no other is there, cut to that size.  So what the driver gathers is bounded by ``total`` characters.
+    an equal share of ``total`` characters where there are many languages.  Of a text that is longer than all that, which
+    is only used where no other is there, ``SPREAD`` blocks are taken, spread over the whole of it.  So what the driver gathers is bounded by ``total`` characters.
+    A dictionary needs eight bytes: fewer are repeated.  A language whose texts have no letter isn't learnt.
     """
     known = train.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
@@ -49,13 +52,15 @@ def excerpts(train: DataFrame, each: int = 400, chars: int = 400_000, total: int
     common = counts.where((F.col("n") > 8 * each) & (F.col("n") * 10_000 >= rows))
     share = F.xxhash64(F.col("doc_id").cast("string"), F.lit("share"), "text").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     drawn = known.select("lang", "text", "doc_id").join(F.broadcast(common), "lang", "left").where(F.col("n").isNull() | (share < 8.0 * each / F.col("n")))
-    size = F.char_length("text")
+    size, width = F.char_length("text"), max(1, room // SPREAD)
+    starts = [(F.floor((size - width) * k / (SPREAD - 1)) + 1).cast("int") for k in range(SPREAD)]
+    spread = F.concat_ws(" ", *[F.col("text").substr(at, F.lit(width)) for at in starts])
     order = W.partitionBy("lang").orderBy((size > room).cast("int"), F.xxhash64(F.col("doc_id").cast("string"), "text"), "text")
-    ranked = drawn.select("lang", F.row_number().over(order).alias("k"), F.col("text").substr(1, room).alias("piece")).where(F.col("k") <= each)
+    ranked = drawn.select("lang", F.row_number().over(order).alias("k"), F.when(size <= room, F.col("text")).otherwise(spread).alias("piece")).where(F.col("k") <= each)
     filled = ranked.withColumn("upto", F.sum(F.char_length("piece").cast("long")).over(W.partitionBy("lang").orderBy("k"))).where((F.col("upto") <= room) | (F.col("k") == 1))
     found = filled.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("p")).collect()
     made = {r["lang"]: b" ".join(letters(x["piece"]) for x in reversed(r["p"])) for r in found}
-    return {k: v for k, v in sorted(made.items()) if len(v) >= 8}
+    return {k: v * -(-8 // len(v)) for k, v in sorted(made.items()) if v}
 
 
 class Compressors:

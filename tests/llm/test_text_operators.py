@@ -88,6 +88,17 @@ def test_language(odd, spark):
     assert langid.excerpts(odd.limit(0)) == {} and {r["lang_pred"] for r in langid.identify(odd, {}).collect()} == {"und"}
 
 
+def test_excerpts_of_scarce_and_of_long_texts(spark):
+    """A language of one letter is learnt, one without letters isn't; of a text beyond the budget blocks from all of it are taken."""
+    long = " ".join(f"{'abcdefghij'[k // 100]}{'qrstuvwxyz'[k // 10 % 10]}{'klmnopqrst'[k % 10]}word" for k in range(1000))
+    rows = [(1, "x", "short"), (2, "12 !", "none"), (3, long, "long"), (4, None, "long"), (5, long, "both"), (6, "small text", "both")]
+    contents = langid.excerpts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=1600)
+    assert list(contents) == ["both", "long", "short"] and set(contents["short"]) == set(b" x") and len(contents["short"]) >= 8
+    assert contents["both"] == b" small text " and 1500 <= len(contents["long"]) <= 1700
+    assert all(f" {x}" in contents["long"].decode() for x in "abcdefghij")
+    assert langid.identify(spark.createDataFrame([(1, "X x")], "doc_id long, text string"), contents).first()["lang_pred"] in contents
+
+
 def test_language_of_marks_alone():
     by = langid.Compressors({"aa": b" alpha beta gamma "})
     assert [langid.classify(t, by, 0.01) for t in ("\u0301\u0302 \u0301", "12 \u093e!")] == [("und", 0.0, True)] * 2
