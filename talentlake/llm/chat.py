@@ -29,6 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talentlake.llm.common import table
@@ -168,10 +169,26 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """The rows of ``conversations`` as a log: each turn opens a message, in order of turn."""
-    return conversations.select(
-        "conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("msg"), "role", "text"
+    """The rows of ``conversations`` as the log of a stream that wrote them, so that folding it restores them.
+
+    By the crc32 of its text a turn is one message; a message of its first half and a delta; a draft and an edit; or a draft, its
+    regeneration and two deltas.  Turns are in order of turn, role and text.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    numbered = conversations.select("conv_id", "role", text.alias("text"), F.row_number().over(W.partitionBy("conv_id").orderBy("turn", role, text)).alias("n"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    first, rest = F.col("text").substr(F.lit(1), half), F.col("text").substr(half + 1, F.char_length("text"))
+    draft, none = F.concat(F.lit("draft of "), F.reverse("text")), F.lit("")
+    event = lambda kind, said, role=F.lit(None).cast("string"): F.struct(F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
+    way, opened = F.crc32(F.col("text").cast("binary")) % 4, F.col("role")
+    events = (
+        F.when(way == 0, F.array(event("message", F.col("text"), opened)))
+        .when(way == 1, F.array(event("message", first, opened), event("delta", rest)))
+        .when(way == 2, F.array(event("message", draft, opened), event("edit", F.col("text"))))
+        .otherwise(F.array(event("message", draft, opened), event("regenerate", none), event("delta", first), event("delta", rest)))
     )
+    each = numbered.select("conv_id", "n", F.posexplode(events).alias("at", "e"))
+    return each.select("conv_id", (F.col("n") * 8 + F.col("at")).alias("seq"), "e.kind", F.lit(None).cast("long").alias("msg"), "e.role", "e.text")
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
