@@ -25,9 +25,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_left: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: as ``cut``, but with its true size, where estimates would multiply in an iteration."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _left.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Removes the tables that ``written`` has left so far, once all results that rest on them are stored elsewhere; gives their number."""
+    conf, fs = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
+    paths = _left[:]
+    for path in paths:
+        p = fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _left.remove(path)
+    return len(paths)

@@ -78,3 +78,13 @@ def test_buckets(spark, tmp_path):
     assert held() == {}
     table.upsert(rows([1], "z"), at(2005))
     assert held() == {1: ("z1", 2005, 2005)}
+
+
+def test_discard(spark):
+    """What was written on the way goes when it is told to; results stored elsewhere stay."""
+    from talentlake.operators import shared
+
+    shared.discard(spark)
+    made = shared.written(spark.range(5))
+    folder = Path(shared.shared_dir(spark).removeprefix("file:"))
+    assert made.count() == 5 and list(folder.glob("cut-*")) and shared.discard(spark) == 1 and not list(folder.glob("cut-*/*.parquet"))
