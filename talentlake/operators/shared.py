@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,3 +49,11 @@ def discard(spark: SparkSession) -> int:
         p.getFileSystem(conf).delete(p, True)
         _left.remove(path)
     return len(paths)
+
+
+def release() -> None:
+    """Gives what a task has freed back to the machine, as the worker's process lives on beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentlake.operators.shared import written
+from talentlake.operators.shared import release, written
 
 #: Distances to a pivot are counted in bins of this width.
 BIN = 0.01
@@ -157,8 +157,9 @@ def _met(dealt: DataFrame, threshold: float, emit, ddl: str, names: list[str]) -
     """
 
     def near(x: Side, y: Side, same: bool) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(x.ids), 256):
-            part = Side(x.ids[k : k + 256], x.copies[k : k + 256], x.v[k : k + 256])
+        step = max(1, 1_000_000 // max(1, len(y.ids)))
+        for k in range(0, len(x.ids), step):
+            part = Side(x.ids[k : k + step], x.copies[k : k + step], x.v[k : k + step])
             score = np.round(part.v @ y.v.T / np.sqrt(part.norm[:, None] * y.norm[None, :]), 12)
             good = score >= threshold
             if same:
@@ -192,6 +193,7 @@ def _met(dealt: DataFrame, threshold: float, emit, ddl: str, names: list[str]) -
                     yield from near(side, own, False)
         if parts and own is None:
             yield from near(own := gathered(), own, True)
+        release()
 
     return dealt.repartition("dim", "part").sortWithinPartitions("dim", "part", "visitor").mapInArrow(run, ddl)
 

@@ -64,7 +64,7 @@ class Accepted:
             dedup.frequencies(sets).write.mode("overwrite").parquet(f"{self.path}/order")
         return self.spark.read.schema("token string, df long").parquet(f"{self.path}/order")
 
-    def deduplicate(self, jobs: DataFrame, crowd: int = 20_000, encoder: Callable[[Column], Column] | None = None) -> DataFrame:
+    def deduplicate(self, jobs: DataFrame, crowd: int = 5_000, encoder: Callable[[Column], Column] | None = None) -> DataFrame:
         """Verdicts of a batch, as ``dedup.deduplicate``, given all that was accepted before; what is accepted now is stored.
 
         ``seq`` must be unique and larger than those of earlier batches.  An empty batch gives no verdicts and is no batch.
