@@ -175,3 +175,13 @@ def test_threshold_without_limit(spark, tmp_path):
 
     spark.range(1100).select(F.col("id").alias("vec_id"), F.array(*map(F.lit, QUERY)).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert QUERIES["vector_threshold"](spark, str(tmp_path)).count() == 1100
+
+
+def test_top_counts_leave_no_filter_below(spark):
+    """An inner explode lets Spark repeat whatever the array is made of in a filter below all projections."""
+    rows = spark.createDataFrame([(0, "python go"), (1, None), (2, "go java"), (3, "")], "seq long, low string").withColumn("by", F.transform(F.split("low", " "), lambda s: F.concat(s, F.lit("!"))))
+    rows = rows.withColumn("by", F.filter("by", lambda s: s != "java!"))
+    found = analytics.top_counts(rows, F.col("by"), 5, explode=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]
+    assert [tuple(r) for r in found.collect()] == [("go!", 2), ("python!", 1), ("!", 1)]
