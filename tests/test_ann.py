@@ -76,3 +76,22 @@ def test_condition_widens(spark, tmp_path):
     assert {r["id"] for r in high} == {r["id"] for r in search.vector_search(frame, query, "id", None, threshold=0.8, vector="e").collect()}
     with pytest.raises(ValueError, match="vector"):
         ann.build(frame.limit(0), "id", "e", str(tmp_path / "none"))
+
+
+def test_best_of_distinct(spark):
+    """Equal rows are kept once, with their least ids, and what comes out is what comparing all of them gives."""
+    rng = np.random.default_rng(5)
+    kinds = rng.standard_normal((40, 5)).round(1)
+    rows = [(i, kinds[rng.integers(40)].tolist()) for i in range(3000)] + [(9000 + i, [0.0] * 5) for i in range(30)]
+    asked = [(i, kinds[i % 7].tolist()) for i in range(50)]
+    make = lambda x: spark.createDataFrame(x, "id long, f array<double>").repartition(5)
+    kept = blocks.distinct_rows(make(rows), 6, bound=10).collect()
+    by = {}
+    for i, f in rows:
+        by.setdefault(tuple(f), []).append(i)
+    assert {tuple(r["f"]): r["ids"] for r in kept} == {f: sorted(ids)[:6] for f, ids in by.items()} and all(r["id"] == r["ids"][0] for r in kept)
+    for grid in ({}, {"rows": 10, "block": 2}):
+        want = blocks.best_of_each(make(asked), make(rows), 6).orderBy("q", "place").collect()
+        got = blocks.best_of_distinct(make(asked), make(rows), 6, **grid).orderBy("q", "place").collect()
+        assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r["score"] for r in got], [r["score"] for r in want])
+    assert blocks.best_of_distinct(make(asked), make([]), 3).count() == 0 and blocks.best_of_distinct(make([]), make(rows), 3).count() == 0
