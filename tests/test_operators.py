@@ -185,3 +185,10 @@ def test_top_counts_leave_no_filter_below(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]
     assert [tuple(r) for r in found.collect()] == [("go!", 2), ("python!", 1), ("!", 1)]
+
+
+def test_duplicate_members_make_rows_once(spark):
+    jobs = normalize(raw(spark, job("Data Analyst", "sql"), job("Data Analyst", "sql"), job("Recruiter")), now())
+    found = analytics.duplicate_members(jobs)
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["seq"], r["first"], r["count"]) for r in found.collect()) == [(0, 0, 2), (1, 0, 2)]

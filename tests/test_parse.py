@@ -106,3 +106,28 @@ def test_vectors(spark):
 
     v = vectors.Hasher().encode(["python data", "", None])
     assert np.isclose(np.linalg.norm(v[0]), 1) and not v[1].any() and not v[2].any()
+
+
+def test_long_searches_run_once(spark):
+    """The patterns of experience stand in the plan a few times, not dozens."""
+    rows = spark.createDataFrame([("3 - 5 years",), ("4+",), ("yr 2 yrs, senior",), ("seniority",), ("5+ exp 1 year",), (None,), ("2.5 to 4+ yrs",)], "t string")
+    df = rows.select(parse.experience(F.col("t")).alias("e"))
+    planned = lambda c: spark.range(1).select(F.col("id").cast("string").alias("t")).select(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= planned(parse.experience(F.col("t"))).count("regexp_extract(") <= 8
+    assert [tuple(r["e"]) for r in df.collect()] == [
+        (3.0, 5.0, "mid"), (4.0, None, "mid"), (2.0, 2.0, "junior"), (6.0, 10.0, "senior"), (5.0, None, "mid"), (None, None, "unknown"), (2.5, 4.0, "junior"),
+    ]
+
+
+def test_embedding_of_long_texts_in_little_room():
+    """A batch is encoded piece by piece: the tokens of all its texts aren't held at once."""
+    import tracemalloc
+
+    texts = [None, "", *(f"word{k} and go " * 2000 for k in range(200)), "end"]
+    hasher = vectors.Hasher()
+    whole = hasher.encode(texts, chars=10**12)
+    tracemalloc.start()
+    pieces = vectors.Hasher().encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (pieces == whole).all() and peak < 30e6
