@@ -68,3 +68,74 @@ def test_retries(small, tmp_path):
     table = spark.createDataFrame([(1, 0, at(0)), (2, 1, at(40)), (5, 2, at(41))], "event_id long, attempts int, failed_at timestamp")
     same = {r["event_id"]: (r["backoff_seconds"], r["next_attempt_at"]) for r in runs.retry_tasks(table).withColumn("next_attempt_at", F.col("next_attempt_at")).collect()}
     assert all(same[e] == (wait, due) for e, status, _, wait, due in of("t") if status == "pending")
+
+
+class Store:
+    """A state store of one key that counts the messages that a processor sends it."""
+
+    def __init__(self):
+        self.sent, self.values, self.timers = 0, {}, set()
+
+    def _state(self, name):
+        store = self
+
+        class State:
+            def exists(self):
+                store.sent += 1
+                return name in store.values
+
+            def get(self):
+                store.sent += 1
+                return store.values.get(name)
+
+            def put(self, x):
+                store.sent += 1
+                store.values[name] = x
+
+            def appendList(self, x):
+                store.sent += 1
+                store.values[name] = [*store.values.get(name, []), *x]
+
+            def clear(self):
+                store.sent += 1
+                store.values.pop(name, None)
+
+            update = put
+
+        return State()
+
+    def getValueState(self, name, fields):
+        return self._state(name)
+
+    getListState = getValueState
+
+    def registerTimer(self, ms):
+        self.sent += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.sent += 1
+        self.timers.discard(ms)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+@pytest.mark.parametrize("of", [lambda: stateful._States("idle", True), lambda: stateful._Retries(30.0, 3600.0, 5)])
+def test_messages_do_not_grow_with_events(of):
+    """A key's events all at once: as many messages to the state store for a thousand of them as for sixteen."""
+    sent = []
+    for n in (16, 1000):
+        store, one = Store(), of()
+        one.init(store)
+        at = [T0 + dt.timedelta(seconds=40 * k) for k in range(n)]
+        one.handleInputRows(("a",), iter([{"event_id": k, "at": t, "state": "syncing", "kind": "done" if k % 8 == 7 else "failure"} for k, t in enumerate(at)]), None)
+        rows = list(one.handleExpiredTimer(("a",), Clock(stateful._ms(END)), None))
+        assert sum(r["event_id"] is not None for r in rows) == n
+        sent.append(store.sent)
+    assert sent[0] == sent[1]
