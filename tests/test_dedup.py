@@ -143,6 +143,22 @@ def test_similar_sets(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.9, 0.75, 0.5])
+def test_similar_sets_of_frequent_tokens(spark, threshold):
+    """Sets of a small vocabulary, equal ones among them: all pairs are found, and few others are looked at."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(90)]
+    sets = [rng.sample(words, rng.randrange(1, 70)) for _ in range(300)]
+    sets += [[w for w in x if rng.random() < 0.97] or x for x in sets[:150]] + sets[:9]
+    frame = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    like = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(a, b): s for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if (s := like(x, y)) >= threshold}
+    assert {(r["a"], r["b"]): r["score"] for r in dedup.similar_sets(frame, threshold).collect()} == want
+    if threshold == 0.9:
+        met = dedup.part_keys(frame, threshold).groupBy("class", "key").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+        assert len(want) > 100 and met < 40 * len(want) < len(sets) ** 2 / 2
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "id long, tokens array<string>")
     assert dedup.similar_sets(empty).count() == 0
