@@ -25,6 +25,8 @@ from talentlake.operators.shared import release, written
 #: Distances to a pivot are counted in bins of this width.
 BIN = 0.01
 _SLACK = 1e-6
+#: More than the error of a cosine in short floats is this for each component.
+_ROUGH = 2e-7
 
 
 def classes(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
@@ -148,6 +150,22 @@ class Side:
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, v: np.ndarray):
         self.ids, self.copies, self.v, self.norm = ids, copies, v, np.einsum("ij,ij->i", v, v)
+        self.block: Side | None = None  # of which this is a part, at these places
+        self.at: np.ndarray | None = None
+        self._unit: np.ndarray | None = None
+
+    @property
+    def unit(self) -> np.ndarray:
+        """The directions in short floats."""
+        if self._unit is None:
+            self._unit = (self.v / np.sqrt(self.norm)[:, None]).astype(np.float32)
+        return self._unit
+
+    def of(self, rows: np.ndarray) -> Side:
+        """Some of the vectors, which remember where they stand in the block."""
+        some = Side(self.ids[rows], self.copies[rows], self.v[rows])
+        some.block, some.at = self, rows
+        return some
 
 
 def _met(dealt: DataFrame, threshold: float, emit, ddl: str, names: list[str]) -> DataFrame:
@@ -160,12 +178,18 @@ def _met(dealt: DataFrame, threshold: float, emit, ddl: str, names: list[str]) -
         step = max(1, 1_000_000 // max(1, len(y.ids)))
         for k in range(0, len(x.ids), step):
             part = Side(x.ids[k : k + step], x.copies[k : k + step], x.v[k : k + step])
-            score = np.round(part.v @ y.v.T / np.sqrt(part.norm[:, None] * y.norm[None, :]), 12)
-            good = score >= threshold
+            # a product of short floats, whose error is far below the slack, leaves few rows and columns for the exact one
+            close = part.unit @ y.unit.T >= np.float32(threshold - _SLACK - _ROUGH * y.v.shape[1])
             if same:
-                good[np.arange(len(part.ids)), np.arange(k, k + len(part.ids))] = False
+                close[np.arange(len(part.ids)), np.arange(k, k + len(part.ids))] = False
+            i, j = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+            if not len(i):
+                continue
+            few, others = part.of(i), y.of(j)
+            score = np.round(few.v @ others.v.T / np.sqrt(few.norm[:, None] * others.norm[None, :]), 12)
+            good = (score >= threshold) & close[np.ix_(i, j)]
             if good.any():
-                for arrays in emit(part, y, score, good, same):
+                for arrays in emit(few, others, score, good, same):
                     yield pa.RecordBatch.from_arrays(arrays, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +255,16 @@ def cosine_forest(found: DataFrame, threshold: float = 0.9, pivots: int = 1024,
     kind = found.schema["cid"].dataType.simpleString()
 
     def emit(x: Side, y: Side, score: np.ndarray, good: np.ndarray, same: bool) -> Iterator[list]:
-        if not hasattr(y, "root"):
-            y.root = np.arange(len(y.ids))  # of the block's own vectors, for as long as the block lasts
-        at = {v: k for k, v in enumerate(y.ids.tolist())} if same else {}
+        whole = y.block
+        if not hasattr(whole, "root"):
+            whole.root = np.arange(len(whole.ids))  # of the block's own vectors, for as long as the block lasts
+        at = {v: k for k, v in enumerate(whole.ids.tolist())} if same else {}
         a, b = [], []
         for i in np.flatnonzero(good.any(axis=1)).tolist():
             near = np.flatnonzero(good[i])
-            roots, first = np.unique(y.root[near], return_index=True)
+            roots, first = np.unique(whole.root[y.at[near]], return_index=True)
             if same:
-                own = y.root[at[x.ids[i].item() if hasattr(x.ids[i], "item") else x.ids[i]]]
+                own = whole.root[at[x.ids[i].item() if hasattr(x.ids[i], "item") else x.ids[i]]]
                 others = roots != own
                 roots, first = roots[others], first[others]
                 keep = own
@@ -248,7 +273,7 @@ def cosine_forest(found: DataFrame, threshold: float = 0.9, pivots: int = 1024,
             a += [x.ids[i]] * len(first)
             b += y.ids[near[first]].tolist()
             if len(roots):
-                y.root[np.isin(y.root, roots)] = keep
+                whole.root[np.isin(whole.root, roots)] = keep
         if a:
             yield [pa.array(np.array(a)), pa.array(np.array(b))]
 

@@ -72,3 +72,16 @@ def test_empty(spark):
     one = spark.createDataFrame([("x", [1.0, 2.0]), ("y", [2.0, 4.0])], "id string, e array<float>")
     got = {r["id"]: (r["class"], r["n_links"], r["best"]) for r in similarity.cosine_links(one, "id", "e").collect()}
     assert got == {"x": ("x", 1, "y"), "y": ("y", 1, "x")}
+
+
+def test_short_floats_keep_what_is_near():
+    """The cosines in short floats, by which rows and columns are chosen, err by less than the slack allows, whatever the lengths and sizes."""
+    rng = np.random.default_rng(3)
+    for width in (1, 8, 64, 3000):
+        v = rng.normal(size=(1, width)) + 0.3 * rng.normal(size=(60, width)) * 10.0 ** rng.integers(-5, 6, size=(60, 1))
+        v *= 10.0 ** rng.integers(-30, 31, size=(60, 1))
+        side = similarity.Side(np.arange(60), np.ones(60, np.int64), v)
+        exact = v @ v.T / np.sqrt(side.norm[:, None] * side.norm[None, :])
+        assert np.abs(side.unit @ side.unit.T - exact).max() < similarity._SLACK + similarity._ROUGH * width
+        some = side.of(np.array([5, 2]))
+        assert some.block is side and some.ids.tolist() == [5, 2] and (some.unit == side.unit[[5, 2]]).all()
