@@ -135,6 +135,14 @@ def test_chain(spark):
     assert got == {k: None if k % 2 == 0 else k - 1 for k in range(2000)}
 
 
+def test_first_rows_settle_most(spark):
+    """Where all rows share few keys, the first ones settle the rest, and none is left for components."""
+    raw = [(k, f"h{k}", f"u{k % 7}", f"r{k}", f"only{k}") for k in range(300)]
+    rows = dedup.marked(dedup.records(postings(spark, raw)), None).select("seq", *dedup.KEYS, "bare", "clothed", "tokens")
+    left, done = dedup._led(rows, None, None, 0.9, 20)
+    assert left.isEmpty() and sorted(r["seq"] for r in done.collect()) == list(range(7))
+
+
 def test_similar_sets(spark):
     rng = random.Random(2)
     sets = [(k, sorted({f"t{rng.randrange(12)}" for _ in range(rng.randrange(1, 14))})) for k in range(150)] + [(999, [])]
