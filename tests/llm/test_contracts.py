@@ -258,6 +258,36 @@ def test_language_model_rows(spark, odd_tables):
         assert math.isclose(r["score"], sum(memo[w] for w in said) + math.log10(ends / n), rel_tol=1e-6)
 
 
+def test_learnt_score_rows(spark, odd_tables):
+    """The arcs of whole words, from the lattice's own score; held-out texts of known words come near the base."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    by, sp = lattice_lm.pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    known = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    learnt, held, counts, ends = [], [], collections.Counter(), 0
+    for r in table(spark, odd_tables, "documents").collect():
+        if held_out(r["doc_id"], 5) != 1:
+            counts.update(lattice_lm.tokens(r["text"]))
+            ends += 1
+    n, once, twice = counts.total() + ends, sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+    d = once / (once + 2 * twice) if once and twice else 0.5
+    logp = lattice_lm.fit(spark.createDataFrame(list(counts.items()), "word binary, c long"), path)  # tested above
+    word = lambda w: math.log10(max(counts[w] - d, 0) / n + d * len(counts) / n * math.exp(slow_lattice(w.decode(), by, logp, known)))
+    memo = {}
+    for text, r in rows_of(spark, odd_tables, "op8_lm_scoring"):
+        said = lattice_lm.tokens(text)
+        for w in set(said) - memo.keys():
+            memo[w] = word(w)
+        assert math.isclose(r["learnt_score"], sum(memo[w] for w in said) + math.log10(ends / n), rel_tol=1e-6)
+        learnt.append(r["learnt_score"])
+        if r["held_out"] and said and r["n_known"] == r["n_tokens"]:
+            held.append(r)
+    assert held and np.isfinite(learnt).all()
+    assert sum(r["learnt_score"] for r in held) > 1.05 * sum(r["base_score"] for r in held)  # both are negative
+
+
 def slow_fold(events):
     """A conversation's final messages, by rules on a plain list."""
     messages, dropped = [], {}
