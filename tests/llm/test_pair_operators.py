@@ -3,12 +3,15 @@
 import collections
 import random
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from talentlake.llm import line_dedup, near_dup
+from talentlake.llm import common, line_dedup, near_dup
 from talentlake.llm.components import components
+from talentlake.operators import shared
 
 
 def roots(nodes, links):
@@ -265,3 +268,19 @@ def test_pipeline(spark, tmp_path):
     assert set(rows) == {*range(40), 102}  # the copy, the near copy, the null and the letterless text are gone
     assert all(rows[i]["text"] == t for i, t, *_ in docs[:40]) and bench.upper() not in rows[102]["text"]
     assert len(rows[102]["text"].split()) == 40 and all(len(r["token_ids"]) == r["n_tokens"] and r["n_chars"] == len(r["text"]) for r in rows.values())
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Tables on the way: once one is written, the disk no longer holds what was shuffled for it; it reads the same, and so does its source."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for d in manager.localDirs() for f in Path(d.getPath()).rglob("shuffle_*")}
+    rows = spark.range(20_000).groupBy((F.col("id") % 500).alias("k")).agg(F.sum("id").alias("n")).repartition(7, "n")
+    for written in (common.written, shared.written):
+        before = shuffled()
+        made = written(rows)
+        for _ in range(50):  # the files are removed in the background
+            if shuffled() <= before:
+                break
+            time.sleep(0.2)
+        assert shuffled() <= before and spark.conf.get(shared.CLEANUP, "false") == "false"
+        assert sorted(made.collect()) == sorted(rows.collect())
