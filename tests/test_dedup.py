@@ -1,6 +1,8 @@
 """Greedy dedup against a row-by-row replay, and the similarity join against all pairs."""
 
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -191,3 +193,19 @@ def test_near_dup_jaccard(spark, tmp_path):
     of = {i: i for i in sets} | {b: a for a, b, s in rows if s == 1}
     paired = {(a, b) for a, b, s in rows if s < 1}
     assert paired and {(i, j) for i in sets for j in sets if i < j and (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in paired)} == want
+
+
+def test_similar_sets_as_text(spark):
+    """Sets that move as one text each give the same pairs, empty sets none, and both sides of a join are shuffled once."""
+    rng = random.Random(23)
+    words = [f"w{k}" for k in range(60)]
+    sets = [rng.sample(words, rng.randrange(1, 50)) for _ in range(120)]
+    sets += [[w for w in x if rng.random() < 0.96] for x in sets] + [[], []]
+    frame = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    shuffled = lambda: max((int(m.group(1)) for d in dirs() for f in Path(d.getPath()).rglob("shuffle_*") if (m := re.match(r"shuffle_(\d+)_", f.name))), default=-1)
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs
+    want = sorted(map(tuple, dedup.similar_sets(frame, 0.8).collect()))
+    found = dedup.similar_sets(frame, 0.8, separator=" ")
+    before = shuffled()
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 100
+    assert shuffled() == before  # what is compared leaves no shuffle of whole sets to the reader
