@@ -83,8 +83,8 @@ class Accepted:
 
         found, vectors = None, None
         if encoder is not None or "embedding" in jobs.columns:
-            vectors = rows.where("vector IS NOT NULL").select("seq", "vector")
-            found, members = classes(vectors.unionByName(before.select("seq", "vector")), "seq", "vector")
+            found, members = classes(rows.where("vector IS NOT NULL").select("seq", "vector").unionByName(before.select("seq", "vector")), "seq", "vector")
+            vectors = found.select(F.col("cid").cast("string").alias("vec"), F.col("v").alias("vector"))
             rows, before = dedup.marked(rows, members), dedup.marked(before, members)
         else:
             rows, before = dedup.marked(rows, None), dedup.marked(before, None)

@@ -209,3 +209,26 @@ def test_similar_sets_as_text(spark):
     before = shuffled()
     assert sorted(map(tuple, found.collect())) == want and len(want) > 100
     assert shuffled() == before  # what is compared leaves no shuffle of whole sets to the reader
+
+
+def test_links_of_some_vectors(spark):
+    """Two rows that are alike stay linked when a third one, which joins them in the forest of all vectors, is settled before."""
+    angles = [0.0, 0.3, 0.15, 3.0, 3.3, 3.15]
+    given = [(k, f"h{k}", str(k), f"r{k}", None, [float(np.cos(a)), float(np.sin(a)), 0.0]) for k, a in enumerate(angles)]
+    jobs = postings(spark, [g[:5] for g in given]).join(spark.createDataFrame([(g[0], g[5]) for g in given], "seq long, embedding array<double>"), "seq")
+    every = dedup.coded(dedup.records(jobs)).localCheckpoint()
+    found = every.groupBy(F.col("vec").alias("cid")).agg(F.min("vector").alias("v"), F.count("*").alias("copies"))
+    for gone in range(3):
+        left = every.where(f"seq NOT IN ({gone}, {gone + 3})").drop("vector")
+        linked = {frozenset(r) for r in dedup.links(left, found, 0.9).select("a", "b").collect() if r["a"] != r["b"]}
+        pairs = [p for p in ([0, 1], [0, 2], [1, 2]) if gone not in p]
+        assert linked == {frozenset(p) for p in pairs} | {frozenset([a + 3, b + 3]) for a, b in pairs}
+
+
+def test_vectors_are_coded(spark):
+    """Equal vectors have one code, whatever the sign of a zero; what has no direction has none."""
+    raw = [(0, [1.0, 0.0]), (1, [1.0, -0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, float("nan")]), (7, [float("inf"), 1.0]), (8, [1.0, None]), (9, [1.0, 0.0, 0.0])]
+    rows = dedup.coded(spark.createDataFrame(raw, "seq long, vector array<double>").withColumn("fingerprint", F.lit("f")))
+    got = {r["seq"]: (r["vec"], r["bare"], r["clothed"]) for r in rows.collect()}
+    assert got[0][0] == got[1][0] and len({got[k][0] for k in (0, 2, 9)}) == 3
+    assert [k for k in got if got[k][0] is None] == [3, 4, 5, 6, 7, 8] and got[3][1:] == ("f", None) and got[5][1:] == (None, "f")
